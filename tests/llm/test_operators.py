@@ -1,5 +1,6 @@
 """The operators against brute force, on small tables with nulls, ties, repeated rows, empty and long texts and further columns."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -108,22 +109,40 @@ def test_repeat_rows(spark):
             assert abs(times.get(i, 0) - taken / size) <= 0.5
 
 
-def plain_ids(file, text):
+@functools.cache
+def plain_tokenizer(file):
     t = Tokenizer.from_file(public_tokenizers.path(file))
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def plain_ids(file, text):
+    return plain_tokenizer(file).encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize(("file", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_chunked_ids(file, drops):
+def odd_texts():
     rng = np.random.default_rng(1)
     letters = list("ab 'sS.,!ßéΣσİ\t\n\r\v  1²́\x00\x1c\xa0　中😀<|>_-\\")
     texts = ["".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(1500)]
-    texts += ["don't I'll  x'\n\n\n y", "  ", "\n", "", "a <|endoftext|> b <|startoftext|>", " lead", "trail "]
-    enc = tokens.ChunkEncoder(public_tokenizers.path(file), drops, cache_chunks=300)
+    return [*texts, "don't I'll  x'\n\n\n y", "  ", "\n", "", "a <|endoftext|> b <|startoftext|>", " lead", "trail ", "x" * 5000]
+
+
+def test_word_ids():
+    enc = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_words=300)
     for _ in range(2):
-        for text, ids in zip(texts, enc.encode(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == plain_ids(file, text)
+        for text, ids in zip(odd_texts(), enc.encode(odd_texts()), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain_ids("word_bpe_49k.json", text)
+
+
+def test_byte_ids():
+    enc = tokens.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    around = [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)} \n{chr(c)}.{chr(c)}" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for i in range(0, len(around), 1000):
+        texts = around[i : i + 1000]
+        want = plain_tokenizer("byte_bpe_50k.json").encode_batch_fast(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in want]
+    for text, ids in zip(odd_texts(), enc.encode(odd_texts()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain_ids("byte_bpe_50k.json", text)
 
 
 def test_pack(spark):

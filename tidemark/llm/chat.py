@@ -46,21 +46,6 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def _byte_table(file: str) -> tuple[list[bytes], int]:
-    """(bytes of each id of a byte-level vocabulary, number of ids)."""
-    tokenizer = encoder(file).tokenizer
-    n = tokenizer.get_vocab_size()
-    # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on, in order
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    table = []
-    for i in range(n):
-        token = tokenizer.id_to_token(i)
-        table.append(bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode())
-    return table, n
-
-
 def assemble(turns: list[tuple[str, bytes, bytes]], first_control: int, opens: bool, closes: bool) -> tuple[np.ndarray, np.ndarray]:
     """(ids, loss mask) of consecutive turns (role, ids of role and newline, ids of text), with the conversation's marks at its ends."""
     begin, end, left, right = (np.array([first_control + i], np.uint32) for i in range(4))
@@ -94,7 +79,7 @@ def format_turns(conversations: DataFrame, vocabulary_file: str | None = None) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(enc.encode([escape(x) for x in texts]), pa.binary())], names=["conv_id", "turn", "role", "text", "head_ids", "text_ids"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        control = encoder(file).tokenizer.get_vocab_size()
+        control = encoder(file).size
         waiting = None  # a turn whose successor is not known yet
         number = 0
 
@@ -133,7 +118,8 @@ def read_turns(formatted: DataFrame, vocabulary_file: str | None = None) -> Data
     file = vocabulary_file or default_file(VOCABULARY)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, control = _byte_table(file)
+        enc = encoder(file)
+        table, control = enc.table, enc.size
         marks = [x.encode() for x in CONTROLS]
         spell = lambda ids: b"".join([table[i] for i in ids]).decode()
         done: list[tuple] = []

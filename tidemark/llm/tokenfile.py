@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import open_fs, save, small_batches, text_or_empty, work_path
-from .tokens import default_file, encoder
+from .tokens import WordEncoder, default_file, encoder
 
 MAGIC = b"TIDETOK1"
 HEADER, FOOTER = struct.Struct("<8sIQ"), struct.Struct("<QQ8s")
@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary_file: str | None = Non
     small_batches(spark)
     file = vocabulary_file or default_file(VOCABULARY)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    enc = encoder(file, True)
+    enc = encoder(file, WordEncoder)
     width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4
     kind = np.dtype(f"<u{width}")
     dictionary = train_dictionary([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in enc.encode(_sample(rows, SAMPLE_DOCS)) if x])
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary_file: str | None = Non
         out.write(dictionary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, name, end = encoder(file, True), None, f"tokens-{uuid.uuid4().hex}", np.array([END_ID], "<u4")
+        enc, writer, name, end = encoder(file, WordEncoder), None, f"tokens-{uuid.uuid4().hex}", np.array([END_ID], "<u4")
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 if writer is None:

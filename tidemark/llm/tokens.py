@@ -1,78 +1,91 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of chunks in each Python worker."""
+"""Token ids of whole texts, as the tokenizers library gives them for a public vocabulary file."""
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from itertools import compress, repeat
 from operator import is_
 
 import numpy as np
 
-#: White space other than the ASCII kind, and controls that some pattern libraries take for white space: a text with these is one chunk.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-_CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-_SPACE = " \t\n\r\f\v"
-
 _LOADED: dict = {}
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk, so that frequent chunks are encoded once.
+def _tokenizer(file: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer
+
+
+class WordEncoder:
+    """Encodes texts word by word with the tokenizers library, for vocabularies that ignore case and drop white space.
 
-    A chunk is a run of ASCII white space with the run of other characters after it, as byte-level splitting patterns
-    never cross from other characters into white space. With drops_space (vocabularies that ignore case and drop
-    white space) it is a run of other characters in lower-case A-Z. A text's ids are its chunks' ids one after
-    another. The cache is bounded; what it lacks is encoded anew.
+    Their patterns never cross ASCII white space, so a text's ids are the ids of the words between it, in lower-case
+    A-Z, one after another. Frequent words are encoded once: the cache is bounded, and what it lacks is encoded anew.
     """
 
-    def __init__(self, file: str, drops_space: bool, cache_chunks: int = 500_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space, self.cache, self.most = drops_space, {}, cache_chunks
-
-    def _split(self, text: str) -> list:
-        if self.drops_space:
-            return text.encode().lower().split()
-        return [text] if _ODD_SPACE.search(text) else _CHUNK.findall(text)
-
-    def _fresh(self, chunks: list) -> dict:
-        """Ids of chunks that the cache lacks: as one text, told apart by offsets, where chunks can stand beside others."""
-        texts = [" " + c.decode() for c in chunks] if self.drops_space else chunks
-        alone = [] if self.drops_space else [c for c in chunks if c[0] not in _SPACE or c[-1] in _SPACE or _ODD_SPACE.search(c)]
-        out = {c: array("I", e.ids).tobytes() for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
-        rest = [(c, t) for c, t in zip(chunks, texts, strict=True) if c not in out]
-        if rest:
-            found = self.tokenizer.encode("".join(t for _, t in rest), add_special_tokens=False)
-            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            ends = np.cumsum(np.fromiter((len(t) for _, t in rest), np.int64, len(rest)))
-            cut = (4 * np.searchsorted(at, np.concatenate([[0], ends]))).tolist()
-            ids = array("I", found.ids).tobytes()
-            out.update((c, ids[a:b]) for (c, _), a, b in zip(rest, cut, cut[1:], strict=False))
-        return out
+    def __init__(self, file: str, cache_words: int = 1_000_000):
+        self.tokenizer = _tokenizer(file)
+        self.cache, self.most = {}, cache_words
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache lacks, encoded as one text and told apart by where ids begin."""
+        texts = [" " + w.decode() for w in words]
+        found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        cut = (4 * np.searchsorted(at, np.concatenate([[0], ends]))).tolist()
+        ids = array("I", found.ids).tobytes()
+        return {w: ids[a:b] for w, a, b in zip(words, cut, cut[1:], strict=False)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         get, missing, split, parts = self.cache.get, set(), [], []
         for text in texts:
-            split.append(chunks := self._split(text))
-            parts.append(ids := list(map(get, chunks)))
-            missing.update(compress(chunks, map(is_, ids, repeat(None))))
+            split.append(words := text.encode().lower().split())
+            parts.append(ids := list(map(get, words)))
+            missing.update(compress(words, map(is_, ids, repeat(None))))
         fresh = self._fresh(list(missing)) if missing else {}
         if len(self.cache) < self.most:
-            self.cache.update((c, b) for c, b in fresh.items() if len(c) <= 40)
-        return [b"".join([fresh[c] if b is None else b for c, b in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in zip(split, parts, strict=True)]
+            self.cache.update((w, b) for w, b in fresh.items() if len(w) <= 40)
+        return [b"".join([fresh[w] if b is None else b for w, b in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
+
+
+class ByteEncoder:
+    """Encodes texts with a byte-level vocabulary of the tokenizers library.
+
+    The file's vocabulary, in which an id is also the rank of its merge, goes to tiktoken's encoder with the splitting
+    pattern of byte-level vocabularies: the ids are the same (tests hold them against tokenizers over every code point) and come several times as fast.
+    """
+
+    def __init__(self, file: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.tokenizer = _tokenizer(file)
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.table = {i: token for token, i in ranks.items()}
+        self.size = self.tokenizer.get_vocab_size()
+        self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        one = self.ranked.encode_ordinary
+        return [array("I", one(text)).tobytes() for text in texts]
 
 
-def encoder(file: str, drops_space: bool = False) -> ChunkEncoder:
+def encoder(file: str, kind: type = ByteEncoder):
     """The worker's own encoder for a vocabulary file."""
-    if file not in _LOADED:
-        _LOADED[file] = ChunkEncoder(file, drops_space)
-    return _LOADED[file]
+    if (file, kind.__name__) not in _LOADED:
+        _LOADED[file, kind.__name__] = kind(file)
+    return _LOADED[file, kind.__name__]
 
 
 def default_file(name: str) -> str:
