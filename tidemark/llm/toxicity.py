@@ -147,7 +147,28 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return [r["text"] for r in found], [r["toxic"] for r in found]
 
 
-_WORDS: dict[str, dict[bytes, float]] = {}
+_WORDS: dict = {}
+
+
+def worker_words(name: str) -> dict[bytes, float]:
+    """The worker's own numbers by word, for one model at a time."""
+    if name not in _WORDS:
+        _WORDS.clear()
+        _WORDS[name] = {}
+    return _WORDS[name]
+
+
+def logit(text: str, model: Model, known: dict[bytes, float]) -> float:
+    """A text's logit; numbers of new words go to known while it has room."""
+    words = words_of(text)
+    new = {w: model.word(w) for w in set(words).difference(known)}
+    find = known.__getitem__
+    if new:
+        if len(known) < KEPT_WORDS and max(map(len, new)) <= 60:
+            known.update(new)
+        else:
+            find = ChainMap(new, known).__getitem__
+    return model.bias + max((sum(map(find, x)) for x in passages(words)), default=0.0)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,28 +179,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     null doc_id stays null.
     """
     small_batches(docs.sparkSession)
-    name = None if model is None else f"{zlib.crc32(model.values.tobytes())}-{model.bias!r}"
+    name = "" if model is None else f"{zlib.crc32(model.values.tobytes())}-{model.bias!r}"
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
-        if name not in _WORDS:
-            _WORDS.clear()
-            _WORDS[name] = {}
-        known = _WORDS[name]
+        fitted, known = sent.value, worker_words(name)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                if fitted is None:
-                    out.append(0.0)
-                    continue
-                words = words_of(text)
-                new = {w: fitted.word(w) for w in set(words).difference(known)}
-                if new and len(known) < KEPT_WORDS:
-                    known.update((w, x) for w, x in new.items() if len(w) <= 40)
-                find = (ChainMap(known, new) if new.keys() - known else known).__getitem__
-                logit = fitted.bias + max((sum(map(find, x)) for x in passages(words)), default=0.0)
-                out.append(float(1 / (1 + np.exp(-np.clip(logit, -50, 50)))))
+            texts = batch.column(1).to_pylist()
+            logits = np.clip([logit(x, fitted, known) for x in texts], -50, 50) if fitted else np.full(len(texts), -np.inf)
+            out = 1 / (1 + np.exp(-logits))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
