@@ -54,7 +54,10 @@ class TokenWriter:
 
     def __init__(self, stream, dictionary: bytes, width: int):
         self.stream, self.kind = stream, np.dtype(f"<u{width}")
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # else each document would digest it again
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         self.stream.write(HEADER.pack(MAGIC, width, dictionary_hash(dictionary)))
         self.at, self.ids, self.ends, self.sizes = HEADER.size, [], [], []
 
