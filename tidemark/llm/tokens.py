@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from itertools import compress, repeat
 from operator import is_
 
 import numpy as np
 
+#: A word that ends in a letter of ASCII or Latin-1 or a digit, then ASCII marks other than the apostrophe.
+_STEM = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
 _LOADED: dict = {}
 
 
@@ -33,7 +37,16 @@ class WordEncoder:
         self.cache, self.most = {}, cache_words
 
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the cache lacks, encoded as one text and told apart by where ids begin."""
+        """Ids of words that the cache lacks: of the stem and the marks after it, where a pattern always parts the two."""
+        split = {w: m.groups() if (m := _STEM.fullmatch(w)) else (w,) for w in words}
+        known = {p: self.cache[p] for parts in split.values() for p in parts if p in self.cache}
+        lacking = list({p for parts in split.values() for p in parts if p not in known})
+        if lacking:
+            known.update(self._encoded(lacking))
+        return known | {w: known[parts[0]] + known[parts[1]] for w, parts in split.items() if len(parts) == 2}
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words encoded as one text and told apart by where ids begin."""
         texts = [" " + w.decode() for w in words]
         found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
         at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
