@@ -12,6 +12,7 @@ hash; scoring covers all whole texts.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import id_bucket, small_batches, text_or_empty
 
 #: Labelled rows of each class that the fit uses at most.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2500
 THRESHOLD = 0.3
 BUCKETS = 1 << 16
 SHORTEST, LONGEST = 3, 5
@@ -72,20 +73,27 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Embeddings and a two-class softmax fitted together by Adagrad on mean log loss."""
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
-    docs = [[sorted(x) for x in passages([known.setdefault(w, len(known)) for w in words_of(text)])] for text in texts]
-    labels = np.array([x for x, d in zip(labels, docs, strict=True) if d], np.int64)
-    docs = [d for d in docs if d]
-    if not docs:
+    words, lengths, counts, kept = array("i"), array("i"), array("i"), []
+    for i, text in enumerate(texts):
+        held = [sorted(x) for x in passages([known.setdefault(w, len(known)) for w in words_of(text)])]
+        if held:
+            kept.append(labels[i])
+            counts.append(len(held))
+            lengths.extend(map(len, held))
+            words.extend(chain.from_iterable(held))
+    if not kept:
         return Model(np.zeros(BUCKETS), -2.0)
-    parts = [subwords(w) for w in known]
-    sizes = np.array([len(x) for x in parts], np.int64)
-    flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    words = np.fromiter(chain.from_iterable(chain.from_iterable(docs)), np.int64)
-    lengths = np.array([len(x) for d in docs for x in d], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    counts = np.array([len(d) for d in docs])
-    firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    flat, sizes = array("i"), array("i")
+    for w in known:
+        grams = subwords(w)
+        sizes.append(len(grams))
+        flat.extend(grams)
+    del known
+    words, lengths, counts, flat, sizes = (np.frombuffer(x, np.int32) for x in (words, lengths, counts, flat, sizes))
+    labels, n_docs = np.array(kept, np.int64), len(kept)
+    begins = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
+    firsts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)[:-1]])
     table = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
     soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -127,10 +135,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             number = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
             number = np.add.reduceat(number[flat], begins[:-1]) / sizes
             scores = np.add.reduceat(number[words], starts)
-            order = np.lexsort((-scores, np.repeat(np.arange(len(docs)), counts)))
+            order = np.lexsort((-scores, np.repeat(np.arange(n_docs), counts)))
             chosen = [order[firsts]]
-        for picked in chosen * max(1, LEAST_DOCS // len(docs)):
-            for batch in np.array_split(rng.permutation(len(docs)), -(-len(docs) // BATCH)):
+        for picked in chosen * max(1, LEAST_DOCS // n_docs):
+            for batch in np.array_split(rng.permutation(n_docs), -(-n_docs // BATCH)):
                 step(picked[batch], wanted[batch], rate)
     return Model((GAIN / PASSAGE * (table @ (soft[:, 1] - soft[:, 0]))).astype(np.float64), float(bias[1] - bias[0]))
 
