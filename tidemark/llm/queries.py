@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, onebit, packing, simhash, tokenfile, toxicity
+from . import chat, exact, mixing, onebit, packing, repeats, simhash, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_onebit_neighbours, op3_packing, op4_token_files, op5_chat_formatting, op6_simhash, op7_mixing, op8_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_onebit_neighbours, op3_packing, op4_token_files, op5_chat_formatting, op6_simhash, op7_mixing, op8_exact_dedup, op9_repeats, op10_toxicity)}
 
 _ESCAPE = r"regexp_replace(regexp_replace({0}, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"
 
