@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, onebit, packing, repeats, simhash, tokenfile, toxicity
+from . import bilinear, chat, exact, mixing, onebit, packing, repeats, simhash, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_onebit_neighbours, op3_packing, op4_token_files, op5_chat_formatting, op6_simhash, op7_mixing, op8_exact_dedup, op9_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bilinear_scores, op2_onebit_neighbours, op3_packing, op4_token_files, op5_chat_formatting, op6_simhash, op7_mixing, op8_exact_dedup, op9_repeats, op10_toxicity)}
 
 _ESCAPE = r"regexp_replace(regexp_replace({0}, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"
 
