@@ -2,6 +2,347 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import temporal, text
+from ..operators import evidence, graph, metrics, predicates, ranking
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "ranking_metrics"
+
+
+class Tables:
+    """The driver's tables, bound to the engine's entities."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def chunks(self) -> DataFrame:
+        return self.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+
+    def asked(self) -> DataFrame:
+        """The stated query set: the first twenty vectors."""
+        return self.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+
+    def gold(self) -> DataFrame:
+        return self.asked().join(self.embeddings, (F.col("label") == F.col("qlabel")) & (F.col("vec_id") != F.col("qid"))).select("qid", F.col("vec_id").alias("doc_id"))
+
+    def top(self, k: int = 10) -> DataFrame:
+        return ranking.vector_top_k(self.asked(), self.chunks(), k)
+
+    def filings(self) -> DataFrame:
+        """Orders as filings: ticker, date, form; a year for each."""
+        o = self.orders
+        return o.select(F.col("o_orderkey").alias("filing"), F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("filed"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("form"), F.col("o_totalprice").alias("score"))
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_SCORED = """
+    q AS (SELECT vec_id AS qid, embedding AS qvec, label AS qlabel FROM embeddings WHERE vec_id < 20),
+    s AS (SELECT qid, vec_id AS doc_id, qlabel, label, round(list_cosine_similarity(qvec::DOUBLE[], embedding::DOUBLE[]), 6) AS score
+          FROM q, embeddings WHERE vec_id <> qid),
+    t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@query(f"WITH {_SCORED} SELECT qid, doc_id, score, rank FROM t WHERE rank <= 10")
+def cosine_topk(t: Tables) -> DataFrame:
+    return t.top()
+
+
+@query(f"WITH {_SCORED} SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE label IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5")
+def filtered_topk(t: Tables) -> DataFrame:
+    where = predicates.compile_where(predicates.any_of([{"label": {"$eq": 1}}, {"label": {"$in": [3, 5]}}]))
+    return ranking.vector_top_k(t.asked(), t.chunks().filter(where), 5)
+
+
+_RELAX = """, a AS (SELECT qid, doc_id, score FROM s WHERE label = qlabel AND label < 5),
+    b AS (SELECT * FROM a UNION ALL SELECT qid, doc_id, score FROM s WHERE qid NOT IN (SELECT qid FROM a))
+    SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM b
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5"""
+
+
+@query(f"WITH {_SCORED} {_RELAX}")
+def relaxed_topk(t: Tables) -> DataFrame:
+    own = (F.col("label") == F.col("qlabel")) & (F.col("label") < 5) & (F.col("doc_id") != F.col("qid"))
+    return ranking.relaxed(ranking.vector_top_k(t.asked(), t.chunks(), 5, own), t.top(5))
+
+
+@query(f"WITH {_SCORED}, g AS (SELECT qid, count(*) AS n FROM s WHERE label = qlabel GROUP BY qid) SELECT g.qid, round(coalesce(1.0 / min(CASE WHEN label = qlabel AND rank <= 10 THEN rank END), 0), 6) AS mrr," + ",".join(f" round(count(CASE WHEN rank <= {k} AND label = qlabel THEN 1 END) / max(n), 6) AS recall_{k}, round(count(CASE WHEN rank <= {k} AND label = qlabel THEN 1 END) / count(CASE WHEN rank <= {k} THEN 1 END), 6) AS precision_{k}, CAST(count(CASE WHEN rank <= {k} AND label = qlabel THEN 1 END) > 0 AS INT) AS hit_{k}" for k in (5, 10)) + " FROM g JOIN t USING (qid) GROUP BY g.qid")
+def ranking_metrics(t: Tables) -> DataFrame:
+    return metrics.ranking_metrics(t.top(), t.gold())
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY event_type")
+def system_summary(t: Tables) -> DataFrame:
+    return metrics.latency_summary(t.events, "event_type", "value")
+
+
+_BRANCH = "b AS (SELECT qid, 0 AS branch, doc_id, rank, score FROM t WHERE rank <= 10 UNION ALL SELECT qid, 1, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id), score FROM s WHERE label IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 10)"
+
+
+def _branches(t: Tables) -> DataFrame:
+    some = ranking.vector_top_k(t.asked(), t.chunks().filter("label in (1, 3, 5)"), 10)
+    return t.top().withColumn("branch", F.lit(0)).unionByName(some.withColumn("branch", F.lit(1)))
+
+
+@query(f"WITH {_SCORED}, {_BRANCH}, f AS (SELECT qid, doc_id, round(sum(CASE WHEN branch = 0 THEN 1.25 ELSE 1.0 END / (60 + rank)), 9) AS rrf, max(nullif(score, 0)) AS best FROM b GROUP BY qid, doc_id) SELECT qid, doc_id, rrf, best, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, best DESC NULLS LAST, doc_id) AS rank FROM f")
+def rrf_fusion(t: Tables) -> DataFrame:
+    return ranking.reciprocal_rank_fusion(_branches(t))
+
+
+@query(f"WITH {_SCORED}, {_BRANCH} SELECT qid, doc_id, max(score) AS score, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, doc_id) AS rank FROM b GROUP BY qid, doc_id")
+def query_rerank(t: Tables) -> DataFrame:
+    return ranking.ranked(_branches(t).groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], [F.desc("score"), F.col("doc_id")])
+
+
+@query("SELECT source AS source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1")
+def doc_dedupe(t: Tables) -> DataFrame:
+    return ranking.keep_first(t.documents.select("source", "doc_id", "text"), ["source", "text"], [F.col("doc_id")]).drop("text")
+
+
+_FILED = "f AS (SELECT o_custkey AS qid, year(o_orderdate) AS year, o_orderkey AS doc_id, o_totalprice AS score FROM orders)"
+
+
+def _filed(t: Tables) -> DataFrame:
+    return t.filings().select(F.col("ticker").alias("qid"), "year", F.col("filing").alias("doc_id"), "score")
+
+
+@query(f"WITH {_FILED}, b AS (SELECT *, row_number() OVER (PARTITION BY qid, year ORDER BY score DESC, doc_id) AS n FROM f) SELECT qid, year, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n = 1 THEN year END NULLS LAST, score DESC, doc_id) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n = 1 THEN year END NULLS LAST, score DESC, doc_id) <= 6")
+def year_reservation(t: Tables) -> DataFrame:
+    return ranking.year_reserve(_filed(t), 6)
+
+
+@query(f"WITH {_FILED}, y AS (SELECT qid, greatest(1, 6 // count(DISTINCT year)) AS quota FROM f GROUP BY qid), b AS (SELECT f.*, quota, row_number() OVER (PARTITION BY f.qid, year ORDER BY score DESC, doc_id) AS n FROM f JOIN y ON f.qid = y.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN n <= quota THEN n END NULLS LAST, CASE WHEN n <= quota THEN year END, score DESC, doc_id) AS rank FROM b) SELECT qid, year, doc_id, score, rank FROM r WHERE rank <= 6")
+def multilayer_quota(t: Tables) -> DataFrame:
+    return ranking.year_quota(_filed(t), 6)
+
+
+@query(f"WITH {_FILED} SELECT qid, doc_id, max(score) AS score, list_sort(list(DISTINCT year))[1] AS first_year, count(DISTINCT year) AS years FROM f GROUP BY qid, doc_id")
+def year_branch(t: Tables) -> DataFrame:
+    return _filed(t).groupBy("qid", "doc_id").agg(F.max("score").alias("score"), F.array_min(F.collect_set("year")).alias("first_year"), F.count_distinct("year").alias("years"))
+
+
+_TOKEN = r"[A-Za-z0-9][A-Za-z0-9_$%./''&-]*"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n_tokens, len(list_distinct(regexp_extract_all(text, '{_TOKEN}'))) AS n_distinct FROM documents")
+def tokenize_stats(t: Tables) -> DataFrame:
+    words = text.tokens(F.col("text"))
+    return t.documents.select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '({_TOKEN})([^A-Za-z0-9]*)') AS p, regexp_extract_all(text, '{_TOKEN}') AS w FROM documents),
+    e AS (SELECT *, len(w) AS n FROM d), x AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((n - 128) / 112.0)) * 112 AS BIGINT) + 1, 112)) AS a FROM e WHERE n > 0)
+    SELECT doc_id, a // 112 AS chunk_index, a AS token_start, least(n, a + 128) AS token_end, array_to_string(p[a + 1 : least(n, a + 128) - 1], '') || w[least(n, a + 128)] AS chunk FROM x
+    UNION ALL SELECT doc_id, 0, 0, 0, trim(text) FROM e WHERE n = 0""")
+def token_windows(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.inline(text.token_windows(F.col("text"), 128, 16)))
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM w WHERE length(token) > 3 GROUP BY ALL) SELECT doc_id, token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank FROM c QUALIFY rank <= 12")
+def keywords(t: Tables) -> DataFrame:
+    w = t.documents.select("doc_id", F.explode(text.tokens(F.lower("text"))).alias("token")).filter(F.length("token") > 3)
+    return ranking.ranked(w.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")), ["doc_id"], [F.desc("n"), F.col("token")], 12)
+
+
+def _weights(rows: DataFrame, key: str) -> DataFrame:
+    """1 + ln(tf) by token, over the row's norm."""
+    tf = rows.select(key, F.explode(text.tokens(F.lower("text"))).alias("token")).groupBy(key, "token").agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
+    norms = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return tf.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def _weights_sql(table: str, key: str) -> str:
+    return f"(SELECT {key}, token, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM (SELECT {key}, token, 1 + ln(count(*)) AS w FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM {table}) GROUP BY ALL))"
+
+
+@query(f"SELECT doc_id, count(*) AS features, round(sum(w), 6) AS total FROM {_weights_sql('documents', 'doc_id')} GROUP BY doc_id")
+def tf_vectors(t: Tables) -> DataFrame:
+    return _weights(t.documents, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@query(f"SELECT item_id, doc_id, round(sum(q.w * d.w), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(q.w * d.w), 6) DESC, doc_id) AS rank FROM {_weights_sql('benchmark', 'item_id')} q JOIN {_weights_sql('documents', 'doc_id')} d USING (token) GROUP BY item_id, doc_id QUALIFY rank <= 15")
+def sparse_topk(t: Tables) -> DataFrame:
+    q = _weights(t.benchmark, "item_id").withColumnRenamed("w", "qw")
+    scored = q.join(_weights(t.documents, "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    return ranking.ranked(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], 15)
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gsi'), '<style[^>]*>.*?</style>', ' ', 'gsi'), '<[^>]+>', ' ', 'gs'), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS body FROM pages")
+def html_strip(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.strip_html(F.col("html")).alias("body"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS cleaned FROM documents")
+def clean_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("WITH f AS (SELECT o_orderkey, 'C' || o_custkey || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_10-K_0' || (o_orderkey % 7) || '_item_' || CASE WHEN o_orderkey % 3 = 0 THEN '101_entry_into_agreement' ELSE '7a_market_risk' END AS title, o_custkey, o_orderdate FROM orders) SELECT o_orderkey, 'C' || o_custkey AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, CAST(year(o_orderdate) AS VARCHAR) AS year, '10-K' AS form, CASE WHEN o_orderkey % 3 = 0 THEN 'Item 1.01: entry into agreement' ELSE 'Item 7A: market risk' END AS section, CASE WHEN o_orderkey % 3 = 0 THEN 'Item 1.01' ELSE 'Item 7A' END AS family, CAST(year(o_orderdate) - 1 AS INT) AS period_year FROM f")
+def filing_meta(t: Tables) -> DataFrame:
+    item = F.when(F.col("o_orderkey") % 3 == 0, "101_entry_into_agreement").otherwise("7a_market_risk")
+    title = F.concat(F.lit("C"), "o_custkey", F.lit("_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_10-K_0"), F.col("o_orderkey") % 7, F.lit("_item_"), item)
+    out = t.orders.select("o_orderkey", F.inline(F.array(temporal.filing_meta(title))))
+    return out.withColumn("period_year", temporal.period_year(F.col("form"), F.col("year").cast("int")))
+
+
+@query("SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS first_filed, strftime(max(o_orderdate), '%Y-%m-%d') AS last_filed, count(*) AS filings FROM orders GROUP BY o_custkey")
+def company_span(t: Tables) -> DataFrame:
+    return t.filings().groupBy(F.col("ticker").alias("o_custkey")).agg(F.min("filed").cast("string").alias("first_filed"), F.max("filed").cast("string").alias("last_filed"), F.count(F.lit(1)).alias("filings"))
+
+
+@query("WITH r AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS ref FROM orders GROUP BY o_custkey) SELECT o.o_custkey, count(*) AS in_window FROM orders o JOIN r ON o.o_custkey = r.o_custkey WHERE CAST(o_orderdate AS DATE) BETWEEN make_date(year(ref) - 1, 1, 1) AND ref GROUP BY o.o_custkey")
+def relative_window(t: Tables) -> DataFrame:
+    f = t.filings()
+    ref = f.groupBy(F.col("ticker").alias("o_custkey")).agg(F.max("filed").alias("ref")).withColumn("w", temporal.relative_window(F.lit(2), F.lit("year"), F.col("ref")))
+    return f.join(ref, (F.col("ticker") == F.col("o_custkey")) & F.col("filed").between(F.col("w.start"), F.col("w.end"))).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("in_window"))
+
+
+@query("SELECT o_orderkey, count(DISTINCT year(l_shipdate)) AS years, bool_or(year(l_shipdate) = year(o_orderdate)) AS overlaps FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def year_overlap(t: Tables) -> DataFrame:
+    years = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.year("l_shipdate")).alias("ys"))
+    return t.orders.join(years, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.size("ys").cast("long").alias("years"), F.arrays_overlap("ys", F.array(F.year("o_orderdate"))).alias("overlaps"))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON contains(' ' || lower(n_name) || ' ', lower(left(r_name, 1))) AND n_regionkey = r_regionkey")
+def alias_contains(t: Tables) -> DataFrame:
+    spoken = F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))
+    return t.nation.join(F.broadcast(t.region), (F.col("n_regionkey") == F.col("r_regionkey")) & F.contains(spoken, F.lower(F.left("r_name", F.lit(1))))).select("n_name", "r_name")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def allow_list_semi(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "source").join(t.labels.select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, quality, toxic, CASE WHEN l.doc_id IS NULL THEN 'missing_from_corpus' ELSE 'found' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def companion_left(t: Tables) -> DataFrame:
+    marks = t.labels.withColumn("status", F.lit("found"))
+    return t.documents.select("doc_id").join(marks, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("missing_from_corpus")))
+
+
+@query("SELECT lower(c_mktsegment) AS subject, 'sells_in' AS predicate, CAST(c_nationkey AS VARCHAR) AS object FROM customer GROUP BY ALL")
+def fact_dedupe(t: Tables) -> DataFrame:
+    rows = t.customer.select(F.col("c_mktsegment").alias("subject"), F.lit("sells_in").alias("predicate"), F.col("c_nationkey").cast("string").alias("object"), F.col("c_custkey").alias("seq"))
+    return graph.facts(rows).select(F.lower("subject").alias("subject"), "predicate", "object")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS subject, 'filed_by' AS predicate, CAST(o_custkey AS VARCHAR) AS object FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'has_form', o_orderpriority FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'filed_in', CAST(year(o_orderdate) AS VARCHAR) FROM orders")
+def base_edges(t: Tables) -> DataFrame:
+    c = F.col
+    return graph.edges(t.filings(), [(c("filing"), "filed_by", c("ticker")), (c("filing"), "has_form", c("form")), (c("filing"), "filed_in", c("year"))])
+
+
+@query("SELECT * FROM (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS next_id FROM orders) WHERE next_id IS NOT NULL")
+def adjacency_form(t: Tables) -> DataFrame:
+    return graph.adjacent(t.orders, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], "o_orderkey")
+
+
+@query("SELECT * FROM (SELECT conv_id * 1000 + turn AS id, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_id FROM conversations) WHERE next_id IS NOT NULL")
+def adjacency_filing(t: Tables) -> DataFrame:
+    return graph.adjacent(t.conversations.withColumn("id_", F.col("conv_id") * 1000 + F.col("turn")), ["conv_id"], ["turn"], "id_")
+
+
+@query("""WITH e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+    d AS (SELECT DISTINCT * FROM (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e)),
+    n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY node ORDER BY other) <= 80),
+    s AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey <= 20), h1 AS (SELECT DISTINCT seed, other AS node FROM s JOIN n ON node = seed),
+    h2 AS (SELECT DISTINCT seed, other AS node FROM h1 JOIN n USING (node))
+    SELECT seed, node, min(depth) AS depth FROM (SELECT seed, seed AS node, 0 AS depth FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY seed, node""")
+def graph_two_hop(t: Tables) -> DataFrame:
+    link = lambda df, a, b, x, y: df.select(F.concat(F.lit(x), a).alias("subject"), F.lit("in").alias("predicate"), F.concat(F.lit(y), b).alias("object"))
+    links = link(t.supplier, "s_suppkey", "s_nationkey", "s", "n").unionByName(link(t.nation, "n_nationkey", "n_regionkey", "n", "r"))
+    seeds = t.supplier.filter("s_suppkey <= 20").select(F.concat(F.lit("s"), "s_suppkey").alias("seed"))
+    return graph.reach(seeds, graph.neighbours(links))
+
+
+@query("SELECT o_custkey, o_orderpriority, count(*) AS filings, min(o_orderkey) AS first_id, round(sum(o_totalprice), 2) AS total, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY o_custkey, o_orderpriority")
+def summary_rollup(t: Tables) -> DataFrame:
+    return t.filings().groupBy(F.col("ticker").alias("o_custkey"), F.col("form").alias("o_orderpriority")).agg(F.count(F.lit(1)).alias("filings"), F.min("filing").alias("first_id"), F.round(F.sum("score"), 2).alias("total"), F.count_distinct("year").alias("years"))
+
+
+@query("SELECT o_custkey, l_orderkey, l_linenumber FROM (SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS top FROM orders GROUP BY o_custkey) JOIN lineitem ON l_orderkey = top")
+def summary_expand(t: Tables) -> DataFrame:
+    best = t.filings().groupBy(F.col("ticker").alias("o_custkey")).agg(F.max_by("filing", "score").alias("top"))
+    return best.join(t.lineitem, F.col("l_orderkey") == F.col("top")).select("o_custkey", "l_orderkey", "l_linenumber")
+
+
+@query("WITH n AS (SELECT DISTINCT o_custkey AS qid, unit FROM orders, (SELECT DISTINCT year(o_orderdate) AS unit FROM orders)), s AS (SELECT o_custkey AS qid, year(o_orderdate) AS unit, count(DISTINCT o_orderkey) AS docs FROM orders GROUP BY ALL) SELECT n.qid, count(*) AS needed, count(docs) AS supported, count(*) - count(docs) AS missing, count(*) = count(docs) AS sufficient FROM n LEFT JOIN s ON n.qid = s.qid AND n.unit = s.unit GROUP BY n.qid")
+def evidence_coverage(t: Tables) -> DataFrame:
+    f = t.filings()
+    years = f.agg(F.collect_set("year").alias("ys"))  # one row
+    needed = f.select(F.col("ticker").alias("qid")).distinct().join(F.broadcast(years)).select("qid", F.explode("ys").alias("unit"))
+    return evidence.coverage(needed, f.select(F.col("ticker").alias("qid"), F.col("year").alias("unit"), F.col("filing").alias("doc_id")))
+
+
+@query(None)
+def greedy_cover(t: Tables) -> DataFrame:
+    rows = t.top().select("qid", F.col("rank").alias("pos"), "doc_id", "score")
+    return evidence.greedy_cover(rows.withColumn("units", F.array(F.col("doc_id") % 3, F.col("doc_id") % 5 + 10)), 4)
+
+
+@query("WITH b AS (SELECT conv_id AS qid, turn AS pos, text, length(text) AS n, sum(length(text) + 2) OVER w - length(text) - 2 AS before, max(CAST(trim(text) = '' AS INT)) OVER w AS blank FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT qid, pos, least(n, 600 - before) AS chars FROM b WHERE blank = 0 AND before < 600")
+def context_budget(t: Tables) -> DataFrame:
+    return evidence.context_budget(t.conversations.select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.col("text").alias("block")), 600)
+
+
+@query("SELECT qid, CASE WHEN max(score) >= 0.45 THEN 'correct' WHEN max(score) >= 0.25 THEN 'ambiguous' ELSE 'incorrect' END AS grade FROM (WITH " + _SCORED + " SELECT * FROM t WHERE rank <= 10) GROUP BY qid")
+def grade_fallback(t: Tables) -> DataFrame:
+    best = F.max("score")
+    return t.top().groupBy("qid").agg(F.when(best >= 0.45, "correct").when(best >= 0.25, "ambiguous").otherwise("incorrect").alias("grade"))
+
+
+@query("SELECT source, count(*) AS n, median(len) AS median_chars, round(avg(len), 6) AS mean_chars FROM (SELECT source, length(text) AS len FROM documents) GROUP BY source")
+def doc_frequency(t: Tables) -> DataFrame:
+    n = F.length("text")
+    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.median(n).alias("median_chars"), F.round(F.avg(n), 6).alias("mean_chars"))
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) = count(CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 1 END)")
+def gold_subset(t: Tables) -> DataFrame:
+    held = F.filter("gold", lambda x: ~((x % 2 == 0) | (x % 3 == 0)))
+    return t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("gold")).filter(F.size(held) == 0).select("o_custkey")
+
+
+@query("SELECT event_type, key, round(avg(v), 6) AS mean_value, count(*) AS n FROM (SELECT event_type, 'k' AS key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) WHERE v IS NOT NULL GROUP BY ALL")
+def stage_timings(t: Tables) -> DataFrame:
+    timed = t.events.select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("key", "v")).filter("key = 'k' and v is not null")
+    return timed.groupBy("event_type", "key").agg(F.round(F.avg("v"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def seeded_sample(t: Tables) -> DataFrame:
+    """A sample of 50 documents in the order of a seeded hash: the limit is the operator."""
+    return t.documents.select("doc_id").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(50)
+
+
+@query(None)
+def lexical_overlap(t: Tables) -> DataFrame:
+    """Each benchmark item against the documents of its best fifteen by sparse score."""
+    pool = QUERIES["sparse_topk"](t.spark, t.dir)
+    joined = pool.join(t.benchmark.select("item_id", F.col("text").alias("q")), "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    return joined.select("item_id", "doc_id", F.round(text.lexical_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+
+
+@query(None)
+def knowledge_strips(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(text.strips(F.col("text"))).alias("strip_no", "strip"))
