@@ -26,7 +26,7 @@ FREQUENT, CLASSES, WIDTH = 447, 64, 32
 SYMBOLS = 1 + FREQUENT + CLASSES
 START = SYMBOLS
 #: Words that every worker knows the count of; the others' counts are joined.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 NOISE, BATCH, RATE = 32, 4096, 0.1
 FOLDS, HELD_OUT = 5, 1
 #: Distinct words that a task counts before it hands them on.
@@ -172,7 +172,13 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """What scoring needs of the saved counts: at most KNOWN_WORDS words and sums."""
     tokens, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, types = (tokens or 0) + ends, types + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toPandas()
+    least, held = 1, 0  # known are the words that come at least so often
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+        if held + r["count"] > KNOWN_WORDS:
+            least = r["n"] + 1
+            break
+        held += r["count"]
+    top = counts.filter(F.col("n") >= least).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True], kind="stable").reset_index(drop=True)
     n = top["n"].to_numpy(np.int64)
     frequent = set(top["word"][:FREQUENT])
     classes = np.array([ending(w) for w in top["word"]], np.int64)

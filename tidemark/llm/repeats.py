@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact import drop_rows
-from .shared import bounded, save, small_batches, text_or_empty
+from .shared import BROADCAST_KEYS, bounded, save, small_batches, text_or_empty
 
 LENGTH = 200
 #: Bytes hashed at a place (a multiple of 8), and starts of one place in a segment at most.
@@ -271,7 +271,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _indexed(rows: pa.Table) -> pa.Table:
     parts, counts = rows["part"].to_pylist(), rows["n"].to_pylist()
-    spans = repeated_spans(parts, counts)
+    spans = [x for x in repeated_spans(parts, counts) if counts[x[0]] == 1]
     h1, h2 = rows["h1"].to_pylist(), rows["h2"].to_pylist()
     return pa.table({"h1": pa.array([h1[i] for i, _, _ in spans], pa.int64()), "h2": pa.array([h2[i] for i, _, _ in spans], pa.int64()), "lo": pa.array([a for _, a, _ in spans], pa.int64()), "hi": pa.array([b for _, _, b in spans], pa.int64())})
 
@@ -302,6 +302,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    short = F.xxhash64("sha").alias("rid")  # should two texts share it, each looks at the other's keys as well
     named = rows.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     base = save(named.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "repeat-rows")
     groups = base.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -310,16 +311,20 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once = drop_rows(named.filter(F.octet_length("text") >= LENGTH), save(others.distinct(), "repeat-others")).select("sha", "text")
     places = save(once.mapInArrow(_arrays, "sha binary, keys array<long>"), "repeat-places")
     met = save(places.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "repeat-keys")
-    listed = places.select("sha", F.explode("keys").alias("key")).join(met, "key").groupBy("sha").agg(F.collect_set("key").alias("again"), F.collect_set(F.when(F.col("count") > HOT, F.col("key"))).alias("hot"))
+    listed = places.select(short, F.explode("keys").alias("key")).join(met, "key").groupBy("rid").agg(F.collect_set("key").alias("again"), F.collect_set(F.when(F.col("count") > HOT, F.col("key"))).alias("hot"))
     listed = save(listed, "repeat-listed")
-    known = bounded(listed.select(F.col("sha").alias("l_sha")))
-    held = save(once.join(known, F.col("sha") == F.col("l_sha"), "left_semi"), "repeat-texts")
-    cut = held.join(listed, "sha").select("sha", "text", "again", "hot").mapInArrow(_cut, "sha binary, at long, key long, h1 long, h2 long, part binary")
+    once = once.select("sha", "text", short)
+    held = save(once.join(bounded(listed.select("rid")), "rid", "left_semi"), "repeat-texts")
+    cut = held.join(listed, "rid").select("sha", "text", "again", "hot").mapInArrow(_cut, "sha binary, at long, key long, h1 long, h2 long, part binary")
     cut = save(cut, "repeat-cut")
     parts = save(cut.groupBy("key", "h1", "h2", "part").agg(F.count(F.lit(1)).alias("n")), "repeat-parts")
+    # equal segments hold nothing but repeated windows; a segment's own windows differ from each other, as they lie at different distances from its place
+    whole = parts.filter("n > 1").select("h1", "h2", F.lit(0).cast("long").alias("lo"), F.octet_length("part").cast("long").alias("hi"))
+    mixed = save(parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key"), "repeat-mixed")
+    parts = save(parts.join(bounded(mixed, BROADCAST_KEYS), "key", "left_semi"), "repeat-indexed")
     shards = max(1, -(-(parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // SHARD_BYTES))
     spans = parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_indexed, "h1 long, h2 long, lo long, hi long")
-    spans = save(spans, "repeat-spans")
+    spans = save(whole.unionByName(spans), "repeat-spans")
     marks = cut.select("sha", "at", "h1", "h2").join(bounded(spans), ["h1", "h2"]).select("sha", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
     marks = marks.groupBy("sha").agg(F.collect_set("span").alias("marks"))
     left = held.dropDuplicates(["sha"]).join(marks, "sha").select("sha", "text", "marks").mapInArrow(_kept, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
