@@ -134,6 +134,15 @@ def test_word_ids():
             assert np.frombuffer(ids, "<u4").tolist() == plain_ids("word_bpe_49k.json", text)
 
 
+def test_plain_words_by_the_model_alone():
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)] if c != 0xF7]
+    words = ["".join(rng.choice(letters, int(rng.integers(1, 14)))) + str(rng.choice(["", ".", ",!", "###"])) for _ in range(3000)] + [chr(c) for c in range(0x21, 0x250)]
+    enc = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for word, ids in zip(words, enc.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain_ids("word_bpe_49k.json", word)
+
+
 def test_byte_ids():
     enc = tokens.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     around = [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)} \n{chr(c)}.{chr(c)}" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]

@@ -13,6 +13,13 @@ import numpy as np
 #: A word that ends in a letter of ASCII or Latin-1 or a digit, then ASCII marks other than the apostrophe.
 _STEM = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
+#: A word of small letters of ASCII and Latin-1: no normaliser changes it and no pattern splits it, so the model alone can encode it.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on, in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 _LOADED: dict = {}
 
 
@@ -29,7 +36,7 @@ class WordEncoder:
     """Encodes texts word by word with the tokenizers library, for vocabularies that ignore case and drop white space.
 
     Their patterns never cross ASCII white space, so a text's ids are the ids of the words between it, in lower-case
-    A-Z, one after another. Frequent words are encoded once: the cache is bounded, and what it lacks is encoded anew.
+    A-Z, one after another. Frequent words are encoded once, plain words by the model alone: the cache is bounded, and what it lacks is encoded anew.
     """
 
     def __init__(self, file: str, cache_words: int = 1_000_000):
@@ -41,8 +48,10 @@ class WordEncoder:
         split = {w: m.groups() if (m := _STEM.fullmatch(w)) else (w,) for w in words}
         known = {p: self.cache[p] for parts in split.values() for p in parts if p in self.cache}
         lacking = list({p for parts in split.values() for p in parts if p not in known})
-        if lacking:
-            known.update(self._encoded(lacking))
+        plain = [w for w in lacking if _LETTERS.fullmatch(w)]
+        known.update((w, array("I", [t.id for t in self.tokenizer.model.tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()) for w in plain)
+        if len(plain) < len(lacking):
+            known.update(self._encoded([w for w in lacking if w not in known]))
         return known | {w: known[parts[0]] + known[parts[1]] for w, parts in split.items() if len(parts) == 2}
 
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -80,9 +89,7 @@ class ByteEncoder:
         import tiktoken
 
         self.tokenizer = _tokenizer(file)
-        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on, in order
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        letters = {chr(c): b for b, c in _BYTE_LETTERS.items()}
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.table = {i: token for token, i in ranks.items()}
         self.size = self.tokenizer.get_vocab_size()
