@@ -32,7 +32,7 @@ END_ID = 2
 #: Documents sampled for the dictionary, and its largest size in bytes.
 SAMPLE_DOCS = 500
 DICTIONARY_BYTES = 64 << 10
-LEVEL = 3
+LEVEL = 1
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
