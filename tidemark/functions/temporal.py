@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def filing_meta(title: Column) -> Column:
     """Struct ticker, filing_date, year, form, section, family of `TICKER_DATE_FORM_NN_item_CODE_words` titles."""
@@ -32,7 +34,47 @@ def period_year(form: Column, year: Column) -> Column:
 
 def period_type(label: Column) -> Column:
     x = F.lower(label)
-    return F.when(x.contains("quarter") | x.contains("three months"), "quarter").when(x.contains("six months") | x.contains("half"), "semiannual").when(x.contains("year") | x.contains("annual") | x.contains("twelve months"), "annual").when(x.contains("month"), "monthly").otherwise("unspecified")
+    return F.when(x.contains("quarter"), "quarter").when(x.contains("half") | x.contains("six month"), "semiannual").when(x.contains("year"), "annual").when(x.contains("month"), "monthly").otherwise("unknown")
+
+
+#: How a date, a period's end, a range and a day are written.
+DATE = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\W+\d{1,2}\W+\d{4}"
+ENDED = r"\b((?:(?:fiscal|financial)\s+)?(?:first|second|third|fourth|[1-4](?:st|nd|rd|th))?\s*(?:quarter|year|month|half[- ]year|six[- ]months?)\s+ended\s+" + DATE + r")\b"
+RANGE = r"\b((?:from|between)\s+" + DATE + r"\s+(?:to|through|and)\s+" + DATE + r")\b"
+AS_OF = r"\b(as\s+of\s+" + DATE + r")\b"
+
+
+def iso_date(text: Column) -> Column:
+    """A written date such as March 31, 2024; null if it is none."""
+    return F.to_date(F.try_to_timestamp(F.initcap(F.trim(F.regexp_replace(text, r"\W+", " "))), F.lit("MMMM d yyyy")))
+
+
+def reporting_periods(text: Column, limit: int = 8) -> Column:
+    """Array of (label, type, start, end): periods ended, ranges, days, each label once (case does not count)."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text, "[\u00a0\u00c2]", " "), r"\s+", " "))
+    at = lambda x, i: iso_date(F.get(F.regexp_extract_all(x, F.lit(f"(?i)({DATE})"), F.lit(1)), F.lit(i)))
+
+    def found(pattern: str, kind, start, end) -> Column:
+        return F.transform(F.regexp_extract_all(clean, F.lit(f"(?i){pattern}"), F.lit(1)), lambda x: F.struct(F.trim(x).alias("label"), kind(x).alias("type"), start(x).alias("start"), end(x).alias("end")))
+
+    none, first, second = (lambda x: F.lit(None).cast("date")), (lambda x: at(x, 0)), (lambda x: at(x, 1))
+    every = F.concat(found(ENDED, period_type, none, first), found(RANGE, lambda x: F.lit("range"), first, second), found(AS_OF, lambda x: F.lit("instant"), none, first))
+    lower = lambda ps: F.transform(ps, lambda p: F.lower(p["label"]))
+    once = bind(every, lambda ps: bind(lower(ps), lambda keys: F.filter(ps, lambda p, i: F.array_position(keys, F.lower(p["label"])) == i + 1)))
+    return F.slice(once, 1, limit)
+
+
+#: Number words of relative time.
+NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+
+
+def relative_phrase(text: Column) -> Column:
+    """Struct n, unit of the first `past 3 years` or, with n = 1, of `this quarter`; null where there is neither."""
+    past = r"(?i)\b(?:past|last|previous)\s+(\d+|" + "|".join(NUMBERS) + r")\s+(year|quarter|month)s?\b"
+    now = F.lower(F.regexp_extract(text, r"(?i)\b(?:this|current|latest)\s+(year|quarter|month)\b", 1))
+    word, unit = F.lower(F.regexp_extract(text, past, 1)), F.lower(F.regexp_extract(text, past, 2))
+    n = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, NUMBERS)), word).cast("int"), F.lit(0)), word.try_cast("int"))
+    return F.when(unit != "", F.struct(n.alias("n"), unit.alias("unit"))).when(now != "", F.struct(F.lit(1).alias("n"), now.alias("unit")))
 
 
 def years_in(text: Column) -> Column:

@@ -10,6 +10,11 @@ TOKEN = r"[A-Za-z0-9][A-Za-z0-9_$%./'&-]*"
 GAP = r"[^A-Za-z0-9]*"
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often lambdas inside refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
@@ -23,17 +28,21 @@ def token_windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     step = size - overlap
-    words, pieces = tokens(text), F.regexp_extract_all(text, F.lit(f"({TOKEN})({GAP})"), F.lit(0))
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")) * step
 
-    def window(a: Column, i: Column) -> Column:
-        b = F.least(n, a + size)
-        chunk = F.concat(F.array_join(F.slice(pieces, a + 1, b - a - 1), ""), F.element_at(words, b))
-        return F.struct(i.alias("chunk_index"), a.alias("token_start"), b.alias("token_end"), chunk.alias("chunk"))
+    def windows(words: Column, pieces: Column) -> Column:
+        n = F.size(words)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")) * step
+
+        def window(a: Column, i: Column) -> Column:
+            b = F.least(n, a + size)
+            chunk = F.concat(F.array_join(F.slice(pieces, a + 1, b - a - 1), ""), F.element_at(words, b))
+            return F.struct(i.alias("chunk_index"), a.alias("token_start"), b.alias("token_end"), chunk.alias("chunk"))
+
+        none = F.array(F.struct(F.lit(0).alias("chunk_index"), F.lit(0).alias("token_start"), F.lit(0).alias("token_end"), F.trim(text).alias("chunk")))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), window)).otherwise(none)
 
-    none = F.array(F.struct(F.lit(0).alias("chunk_index"), F.lit(0).alias("token_start"), F.lit(0).alias("token_end"), F.trim(text).alias("chunk")))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), window)).otherwise(none)
+    pieces = F.regexp_extract_all(text, F.lit(f"({TOKEN})({GAP})"), F.lit(0))
+    return bind(tokens(text), lambda words: bind(pieces, lambda whole: windows(words, whole)))
 
 
 def clean_text(text: Column) -> Column:
@@ -56,12 +65,41 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 def strips(text: Column, sentences: int = 3) -> Column:
     """Array of strips of so many sentences."""
-    parts = F.filter(F.split(text, r"[.!?]+"), lambda x: F.trim(x) != "")
-    n = F.size(parts)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(sentences))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda a: F.array_join(F.transform(F.slice(parts, a + 1, F.lit(sentences)), lambda x: F.trim(x)), ". "))
+    def cut(parts: Column) -> Column:
+        n = F.size(parts)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(sentences))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda a: F.array_join(F.slice(parts, a + 1, F.lit(sentences)), ". "))
+
+    return bind(F.transform(F.filter(F.split(text, r"[.!?]+"), lambda x: F.trim(x) != ""), lambda x: F.trim(x)), cut)
 
 
 def singular(term: Column) -> Column:
     """Plural endings: ies to y; a last s goes unless the word ends in ss or us."""
     return F.when(F.length(term) > 3, F.when(term.endswith("ies"), F.concat(F.substring(term, 1, F.length(term) - 3), F.lit("y"))).when(term.endswith("s") & ~term.endswith("ss") & ~term.endswith("us"), F.substring(term, 1, F.length(term) - 1)).otherwise(term)).otherwise(term)
+
+
+#: Legal suffixes of company names.
+LEGAL = ["inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "plc"]
+
+
+def alias_variants(name: Column) -> Column:
+    """A company name in lower-case words, the same without legal suffixes, and its first word if that has four letters or more; each once, none empty."""
+    plain = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    bare = F.trim(F.regexp_replace(plain, f"( ?\\b({'|'.join(LEGAL)}))+$", ""))
+    first = F.substring_index(bare, " ", 1)
+    return F.array_distinct(F.filter(F.array(plain, bare, F.when(F.length(first) >= 4, first)), lambda x: x.isNotNull() & (x != "")))
+
+
+def doc_ids(text: Column) -> Column:
+    """Ids such as doc_000123 in a text, in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(doc_\d{6})\b"), F.lit(1)))
+
+
+def chunk_index(evidence_id: Column) -> Column:
+    """The number at the end of an id such as doc_000123::chunk_0007, else null."""
+    return F.regexp_extract(evidence_id, r"::chunk_(\d+)$", 1).try_cast("int")
+
+
+def json_in(answer: Column) -> Column:
+    """The outermost JSON object of a model's answer, with or without a fence; null if it has none."""
+    return F.nullif(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), F.lit(""))

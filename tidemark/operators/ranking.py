@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, norm
 
 #: Queries that are sent to all chunks at once.
 BROADCAST_QUERIES = 10_000
@@ -14,14 +16,23 @@ BROADCAST_QUERIES = 10_000
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
     """(qid, doc_id, score, rank) of the k chunks nearest by cosine, the condition applied before scoring.
 
-    queries(qid, qvec, ...) is a stated set: it is broadcast up to BROADCAST_QUERIES rows, which is checked. Scores are
-    rounded to 6 digits, ties go to the smaller doc_id.
+    queries(qid, qvec, ...) is a stated set. It is counted and sent to all chunks in blocks of at most about
+    BROADCAST_QUERIES rows. Norms are taken once a row. Scores are rounded to 6 digits, ties go to the smaller doc_id.
     """
-    if queries.count() > BROADCAST_QUERIES:
-        raise ValueError("pass the queries in blocks")
-    pairs = chunks.join(F.broadcast(queries), condition if condition is not None else F.col("doc_id") != F.col("qid"))
-    scored = pairs.select("qid", "doc_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score")).filter("score is not null")
-    return ranked(scored, ["qid"], [F.desc("score"), F.col("doc_id")], k)
+    asked = queries.withColumn("_qnorm", norm(F.col("qvec"))).filter("_qnorm > 0")
+    held = chunks.withColumn("_norm", norm(F.col("vec"))).filter("_norm > 0")
+    where = condition if condition is not None else F.col("doc_id") != F.col("qid")
+    cosine = dot(F.col("qvec"), F.col("vec")) / (F.col("_qnorm") * F.col("_norm"))
+
+    def block(part: DataFrame) -> DataFrame:
+        pairs = held.join(F.broadcast(part), where & (F.size("vec") == F.size("qvec")))
+        return ranked(pairs.select("qid", "doc_id", F.round(cosine, 6).alias("score")), ["qid"], [F.desc("score"), F.col("doc_id")], k)
+
+    rows = queries.count()
+    n = 1 if rows <= BROADCAST_QUERIES else -(-2 * rows // BROADCAST_QUERIES)
+    if n == 1:
+        return block(asked)
+    return reduce(DataFrame.unionByName, [block(asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)])
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:

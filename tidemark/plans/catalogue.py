@@ -26,8 +26,8 @@ class Tables:
         return self.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
 
     def asked(self) -> DataFrame:
-        """The stated query set: the first twenty vectors."""
-        return self.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+        """The stated query set: the vectors whose id is divisible by 50."""
+        return self.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
 
     def gold(self) -> DataFrame:
         return self.asked().join(self.embeddings, (F.col("label") == F.col("qlabel")) & (F.col("vec_id") != F.col("qid"))).select("qid", F.col("vec_id").alias("doc_id"))
@@ -52,7 +52,7 @@ def query(sql: str | None):
 
 
 _SCORED = """
-    q AS (SELECT vec_id AS qid, embedding AS qvec, label AS qlabel FROM embeddings WHERE vec_id < 20),
+    q AS (SELECT vec_id AS qid, embedding AS qvec, label AS qlabel FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT qid, vec_id AS doc_id, qlabel, label, round(list_cosine_similarity(qvec::DOUBLE[], embedding::DOUBLE[]), 6) AS score
           FROM q, embeddings WHERE vec_id <> qid),
     t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"""
@@ -265,13 +265,13 @@ def adjacency_filing(t: Tables) -> DataFrame:
 @query("""WITH e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
     d AS (SELECT DISTINCT * FROM (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e)),
     n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY node ORDER BY other) <= 80),
-    s AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey <= 20), h1 AS (SELECT DISTINCT seed, other AS node FROM s JOIN n ON node = seed),
+    s AS (SELECT 's' || s_suppkey AS seed FROM supplier), h1 AS (SELECT DISTINCT seed, other AS node FROM s JOIN n ON node = seed),
     h2 AS (SELECT DISTINCT seed, other AS node FROM h1 JOIN n USING (node))
     SELECT seed, node, min(depth) AS depth FROM (SELECT seed, seed AS node, 0 AS depth FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY seed, node""")
 def graph_two_hop(t: Tables) -> DataFrame:
     link = lambda df, a, b, x, y: df.select(F.concat(F.lit(x), a).alias("subject"), F.lit("in").alias("predicate"), F.concat(F.lit(y), b).alias("object"))
     links = link(t.supplier, "s_suppkey", "s_nationkey", "s", "n").unionByName(link(t.nation, "n_nationkey", "n_regionkey", "n", "r"))
-    seeds = t.supplier.filter("s_suppkey <= 20").select(F.concat(F.lit("s"), "s_suppkey").alias("seed"))
+    seeds = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("seed"))
     return graph.reach(seeds, graph.neighbours(links))
 
 
@@ -329,10 +329,10 @@ def stage_timings(t: Tables) -> DataFrame:
     return timed.groupBy("event_type", "key").agg(F.round(F.avg("v"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@query("SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 50")
 def seeded_sample(t: Tables) -> DataFrame:
     """A sample of 50 documents in the order of a seeded hash: the limit is the operator."""
-    return t.documents.select("doc_id").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(50)
+    return t.documents.select("doc_id").orderBy(F.md5(F.concat(F.lit("42-"), "doc_id").cast("binary")), "doc_id").limit(50)
 
 
 @query(None)
