@@ -107,14 +107,14 @@ def resolve_phrases(names: DataFrame, docs: DataFrame, width: int = 3) -> DataFr
     """
     words = F.split("phrase", " ")
     keyed = names.select("name_id", plain_words(F.col("phrase")).alias("phrase")).filter("phrase <> ''")
-    keyed = keyed.withColumn("key", F.array_join(F.slice(words, 1, width), " "))
+    keyed = keyed.withColumn("key", F.xxhash64(F.array_join(F.slice(words, 1, width), " ")))
     keyed = F.broadcast(keyed) if names.count() <= BROADCAST_NAMES else keyed
-    spoken = docs.select("ticker", plain_words(F.col("text")).alias("said")).filter("said <> ''")
-    run = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    spoken = docs.select("ticker", plain_words(F.col("text")).alias("said")).filter("said <> ''").withColumn("doc", F.xxhash64("said"))
+    run = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)])))
     runs = bind(F.split("said", " "), lambda w: F.array_distinct(F.concat(*[run(w, n) for n in range(1, width + 1)])))
-    starts = spoken.withColumn("key", F.explode(runs))
+    maybe = spoken.select("doc", runs.alias("runs")).select("doc", F.explode("runs").alias("key")).join(keyed, "key").select("doc", "name_id", "phrase").distinct()
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    hits = starts.join(keyed, "key").filter(F.contains(padded(F.col("said")), padded(F.col("phrase"))))
+    hits = spoken.join(maybe, "doc").filter(F.contains(padded(F.col("said")), padded(F.col("phrase"))))
     per = hits.groupBy("name_id").agg(F.count_distinct("ticker").alias("tickers"))
     n = F.coalesce("tickers", F.lit(0)).cast("long")
     status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
