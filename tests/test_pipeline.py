@@ -1,0 +1,94 @@
+"""The pipeline's near-dedup stage against brute force, with near copies at 0.8, null and repeated ids, null and empty texts."""
+
+import re
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from tidemark.llm import jaccard
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+RNG = np.random.default_rng(8)
+
+
+def text_of(n, stem="w"):
+    return " ".join(f"{stem}{i}" for i in RNG.integers(0, 3000, n))
+
+
+def edited(text, *places):
+    words = text.split()
+    for p in places:
+        words[p] = f"edit{p}"
+    return " ".join(words)
+
+
+def some_rows():
+    a, b, c, d = text_of(49), text_of(204), text_of(5), text_of(60)
+    # 49 words have 45 shingles: one word at place 10 touches 5 of them (40/50 = 0.8), with the last word 6 (39/51 < 0.8)
+    rows = [(1, a), (2, edited(a, 10)), (3, edited(a, 10, 48)), (4, b), (5, edited(b, 20, 90, 160)), (6, c), (7, c + " more"), (8, "one two"), (9, "one  TWO"), (10, "one two three")]
+    rows += [(11, d), (11, edited(d, 0)), (11, text_of(40)), (None, d), (None, edited(d, 59)), (None, "nobody's text"), (None, "nobody's text"), (12, d), (12, d)]
+    rows += [(13, None), (14, ""), (15, " "), (None, None), (16, "bad words here so bad"), (None, "bad words here so bad"), (16, "good words stay here always")]
+    base = text_of(120, "h")
+    rows += [(100 + i, edited(base, *RNG.integers(0, 120, 3))) for i in range(60)]
+    return rows + [(200 + i, text_of(int(RNG.integers(5, 80)))) for i in range(40)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "ab"[k % 2], k) for k, (i, t) in enumerate(rows)], SCHEMA)
+
+
+def got(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def shingles(text):
+    words = [w for w in SPACE.split((text or "").lower()) if w]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def rank(row):
+    return (row[0] is None, row[0] or 0)
+
+
+def brute_components(rows):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, row in enumerate(rows):
+        groups[find(i)].append(row)
+    return list(groups.values())
+
+
+@pytest.mark.parametrize("large", [1, 8])
+def test_near_stage(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard.find_near_copies, "__defaults__", (*jaccard.find_near_copies.__defaults__[:-1], large))
+    rows = some_rows()
+    out = got(corpus_pipeline.drop_near_copies(spark, frame(spark, rows), ""))
+    groups = brute_components(rows)
+    assert sum(out.values()) == len(groups)
+    for group in groups:
+        kept = [r for r in set(group) if out[r]]
+        assert len(kept) == 1 and out[kept[0]] == 1 and rank(kept[0]) == min(map(rank, group))
+
+
+def test_near_copies_at_and_under_the_limit():
+    x = text_of(49)
+    hashed = [jaccard.shingle_set(t) for t in (x, edited(x, 10), edited(x, 10, 48))]
+    assert jaccard.alike(hashed[0], hashed[1]) and not jaccard.alike(hashed[0], hashed[2])
+    met = 0
+    for i in range(300):
+        words = text_of(49, f"s{i}x")
+        a, b = (jaccard.minima(jaccard.shingle_set(t)) for t in (words, edited(words, 10)))
+        met += bool(set(jaccard.band_keys(a).tolist()) & set(jaccard.band_keys(b).tolist())) and (a.astype(np.uint8) == b.astype(np.uint8)).sum() >= jaccard.LEAST_EQUAL
+    assert met == 300

@@ -93,6 +93,31 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def text_key(text_col: str = "text") -> Column:
+    """What a row's decision is found by, besides its id: 64 bits of its text."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def _matched(docs: DataFrame, rows: DataFrame, digest: Column, id_col: str, how: str) -> DataFrame:
+    """docs joined with the saved table rows(doc_id, digest): ids are equal or both null, and the texts' digests are equal."""
+    keys = bounded(rows.select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest")), BROADCAST_KEYS)
+    return docs.join(keys, F.col(id_col).eqNullSafe(F.col("_key_id")) & (digest == F.col("_key_digest")), how)
+
+
+def drop_keyed(docs: DataFrame, dropped: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id, null or not, and digest are together in the saved table dropped(doc_id, digest)."""
+    return _matched(docs, dropped, digest, id_col, "left_anti")
+
+
+def keep_once(docs: DataFrame, kept: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """docs with one of the rows that stand several times in kept(doc_id, digest), which names each row once."""
+    again = save(kept.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest"), "kept-again")
+    if again.isEmpty():
+        return docs
+    once = _matched(docs, again, digest, id_col, "left_semi").withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    return _matched(docs, again, digest, id_col, "left_anti").unionByName(once)
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in the saved table dropped(doc_id); rows with a null id stay."""
     ids = bounded(dropped.select(F.col("doc_id").alias("_dropped_id")), BROADCAST_KEYS)
