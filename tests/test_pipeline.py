@@ -1,4 +1,4 @@
-"""The pipeline's near-dedup stage against brute force, with near copies at 0.8, null and repeated ids, null and empty texts."""
+"""The pipeline's stages and the whole of it against brute force, with near copies at 0.8, null and repeated ids, null and empty texts."""
 
 import re
 from collections import Counter, defaultdict
@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, mixing, packing, repeats, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -52,6 +52,13 @@ def rank(row):
     return (row[0] is None, row[0] or 0)
 
 
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for row in rows:
+        groups[SPACE.sub(" ", row[1] or "")].append(row)
+    return {text: min(map(rank, group)) for text, group in groups.items()}
+
+
 def brute_components(rows):
     sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
 
@@ -70,6 +77,13 @@ def brute_components(rows):
     return list(groups.values())
 
 
+def test_exact_stage(spark):
+    rows = some_rows()
+    out = got(corpus_pipeline.drop_copies(spark, frame(spark, rows), ""))
+    want = brute_exact(rows)
+    assert Counter((SPACE.sub(" ", t or ""), rank((i, t))) for i, t in out.elements()) == Counter(want.items())
+
+
 @pytest.mark.parametrize("large", [1, 8])
 def test_near_stage(spark, monkeypatch, large):
     monkeypatch.setattr(jaccard.find_near_copies, "__defaults__", (*jaccard.find_near_copies.__defaults__[:-1], large))
@@ -92,3 +106,41 @@ def test_near_copies_at_and_under_the_limit():
         a, b = (jaccard.minima(jaccard.shingle_set(t)) for t in (words, edited(words, 10)))
         met += bool(set(jaccard.band_keys(a).tolist()) & set(jaccard.band_keys(b).tolist())) and (a.astype(np.uint8) == b.astype(np.uint8)).sum() >= jaccard.LEAST_EQUAL
     assert met == 300
+
+
+def labelled(spark, path):
+    rows = some_rows() + [(1000 + i, f"{text_of(12)} {'bad so bad' if i % 2 else 'good and fine'} {text_of(12)}") for i in range(200)]
+    frame(spark, rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1000 + i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return rows
+
+
+def brute_toxic(spark, path, rows):
+    model = toxicity.fit(frame(spark, rows), spark.read.parquet(f"{path}/labels.parquet"))
+    return [(i, t) for i, t in rows if 1 / (1 + np.exp(-toxicity.logit(t or "", model, {}))) < toxicity.THRESHOLD]
+
+
+def test_toxicity_stage_and_the_whole(spark, tmp_path):
+    rows = labelled(spark, tmp_path)
+    clean = brute_toxic(spark, tmp_path, rows)
+    assert 0 < len(clean) < len(rows) and (None, "bad words here so bad") not in clean and (16, "good words stay here always") in clean
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert got(corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))) == Counter(clean)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    left = got(docs)
+    once = brute_exact(clean)
+    # which of several equal ranks stays is open; the number of groups is not
+    groups = brute_components([(None if r[0] else r[1], t) for t, r in once.items()])
+    assert sum(left.values()) == len(groups)
+    assert Counter(rank(r) for r in left.elements()) == Counter(min(map(rank, g)) for g in groups)
+    mixed = mixing.repeat_rows(docs)
+    want = Counter(tuple(r) for r in packing.pack(mixed).collect())
+    assert want and Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_repeats_with_one_id_on_two_texts(spark):
+    twice, alone = text_of(80, "t"), text_of(80, "u")
+    rows = [(1, twice), (2, twice), (2, alone), (3, "x " + alone)]
+    out = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.find_repeats(frame(spark, rows)).collect()}
+    assert out[2, len(alone)] == len(alone) and out[3, len(alone) + 2] == len(alone)

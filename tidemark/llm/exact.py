@@ -118,23 +118,14 @@ def keep_once(docs: DataFrame, kept: DataFrame, digest: Column, id_col: str = "d
     return _matched(docs, again, digest, id_col, "left_anti").unionByName(once)
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in the saved table dropped(doc_id); rows with a null id stay."""
-    ids = bounded(dropped.select(F.col("doc_id").alias("_dropped_id")), BROADCAST_KEYS)
-    return docs.join(ids, F.col(id_col) == F.col("_dropped_id"), "left_anti")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they were.
 
-    Where a kept doc_id was given several times with one text, one of those rows stays. Rows with a null doc_id stay.
+    Where a kept doc_id was given several times with one text, one of those rows stays. Rows with a null doc_id stay,
+    or with unnamed are dropped and kept once like any other.
     """
-    flags = save(find_copies(docs, id_col, text_col), "exact-flags")
-    out = drop_rows(docs, flags.filter("not kept"), id_col)
-    again = save(flags.filter("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id").distinct(), "exact-repeated")
-    if not again.isEmpty():
-        ids = bounded(again.select(F.col("doc_id").alias("_repeated_id")), BROADCAST_KEYS)
-        match = F.col(id_col) == F.col("_repeated_id")
-        once = out.join(ids, match, "left_semi").withColumn("_normalised", normalised(text_col)).dropDuplicates([id_col, "_normalised"]).drop("_normalised")
-        out = out.join(ids, match, "left_anti").unionByName(once)
-    return out
+    flags = save(find_copies(docs, id_col, text_col).select("doc_id", "kept", F.xxhash64("text_sha256").alias("digest")), "exact-flags")
+    if not unnamed:
+        flags = flags.filter("doc_id is not null")
+    digest = F.xxhash64(F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
+    return keep_once(drop_keyed(docs, flags.filter("not kept"), digest, id_col), flags.filter("kept"), digest, id_col)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact import drop_rows
+from .exact import drop_keyed
 from .shared import BROADCAST_KEYS, bounded, save, small_batches, text_or_empty
 
 LENGTH = 200
@@ -307,8 +307,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = save(named.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "repeat-rows")
     groups = base.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     copied = save(groups.filter("copies > 1"), "repeat-copies")
-    others = base.join(bounded(copied), "sha").filter("doc_id <> first").select("doc_id")
-    once = drop_rows(named.filter(F.octet_length("text") >= LENGTH), save(others.distinct(), "repeat-others")).select("sha", "text")
+    others = base.join(bounded(copied), "sha").filter("not (doc_id <=> first)").select("doc_id", F.col("sha").alias("digest"))
+    once = drop_keyed(named.filter(F.octet_length("text") >= LENGTH), save(others.distinct(), "repeat-others"), F.col("sha")).select("sha", "text")
     places = save(once.mapInArrow(_arrays, "sha binary, keys array<long>"), "repeat-places")
     met = save(places.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "repeat-keys")
     listed = places.select(short, F.explode("keys").alias("key")).join(met, "key").groupBy("rid").agg(F.collect_set("key").alias("again"), F.collect_set(F.when(F.col("count") > HOT, F.col("key"))).alias("hot"))

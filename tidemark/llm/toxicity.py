@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bucket, small_batches, text_or_empty
+from .exact import text_key
+from .shared import BROADCAST_KEYS, bounded, id_bucket, save, small_batches, text_or_empty
 
 #: Labelled rows of each class that the fit uses at most.
 SAMPLE_ROWS = 2500
@@ -203,6 +204,13 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return scored.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that the model rejects, all columns as they were. Equal texts score alike, so the text alone names a row's decision."""
+    rows = docs.select(text_key(text_col).alias("digest"), F.col(text_col).alias("text"))
+    rejected = save(score(rows, model, "digest", "text").filter("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct(), "toxic-texts")
+    return docs.join(bounded(rejected, BROADCAST_KEYS), text_key(text_col) == F.col("_rejected"), "left_anti")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts, toxic = sample_labelled(docs, labels)
     return train(texts, toxic) if texts else None
