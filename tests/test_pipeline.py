@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
-from tidemark.llm import jaccard, mixing, packing, repeats, toxicity
+from tidemark.llm import jaccard, mixing, packing, queries, repeats, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -144,3 +144,17 @@ def test_repeats_with_one_id_on_two_texts(spark):
     rows = [(1, twice), (2, twice), (2, alone), (3, "x " + alone)]
     out = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.find_repeats(frame(spark, rows)).collect()}
     assert out[2, len(alone)] == len(alone) and out[3, len(alone) + 2] == len(alone)
+
+
+def test_registered_simhash_query(spark, tmp_path):
+    rows = list({i: (i, t) for i, t in some_rows() if i is not None}.values())
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op6_simhash(spark, str(tmp_path)).collect()}
+    prints = {i: simhash.fingerprint(t or "") for i, t in rows}
+    least = dict(zip(prints, prints, strict=True))
+    for _ in prints:
+        now = {i: min(least[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 4) for i in prints}
+        if now == least:
+            break
+        least = now
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in out.items()} == {i: (f"{prints[i]:016x}", least[i]) for i in prints}
