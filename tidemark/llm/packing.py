@@ -24,6 +24,8 @@ CAPACITY = 2048
 #: The small piece is this part of a remainder.
 TAIL = 20
 WINDOWS = 512
+#: Pieces of a shard, about: very short texts make many of them.
+SHARD_PIECES = 1 << 17
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -31,32 +33,43 @@ VOCABULARY = "byte_bpe_50k.json"
 def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin of each item, sum of each bin) of k near-equal bins, by the largest differencing method for k bins.
 
-    A partial partition is its k sums in falling order, less the smallest. The two with the largest spread are merged
-    again and again, one's largest sum with the other's smallest; going back through the merges gives the bins.
+    A partial partition is the sums of its bins that hold items, in falling order, less the smallest once all k hold some.
+    The two with the largest spread are merged again and again, one's largest sum with the other's smallest. Bins that
+    meet become a node over both, so all partitions together never hold more numbers than there are items.
     """
     n = len(lengths)
-    sums = np.zeros((2 * n - 1 if n else 0, k), np.int64)
-    sums[:n, 0] = lengths
+    sums: list = [np.array([x], np.int64) for x in lengths]
+    nodes: list = [np.array([i]) for i in range(n)]
+    children = np.zeros((n, 2), np.int64)
+    made = n
     heap = [(-int(x) if k > 1 else 0, i) for i, x in enumerate(lengths)]
     heapq.heapify(heap)
-    merges = []
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        both = sums[a] + sums[b, ::-1]
-        order = np.argsort(-both, kind="stable")
-        c = n + len(merges)
-        sums[c] = both[order] - both[order[-1]]
-        merges.append((a, b, order.astype(np.int32)))
-        heapq.heappush(heap, (-int(sums[c, 0]), c))
-    bins = np.zeros(n, np.int64)
-    places = {n + len(merges) - 1: np.arange(k, dtype=np.int32)} if n else {}
-    for c in range(n + len(merges) - 1, n - 1, -1):
-        a, b, order = merges[c - n]
-        at = np.empty(k, np.int32)
-        at[order] = places.pop(c)
-        places[a], places[b] = at, at[::-1]
-    for i, at in places.items():
-        bins[i] = at[0]
+        x, y, p, q = sums[a], sums[b][::-1], nodes[a], nodes[b][::-1]
+        both = max(0, len(x) + len(y) - k)  # bins of a that get one of b's as well, the two in opposing order
+        if both:
+            alone = len(x) - both
+            joined = np.arange(made, made + both)
+            children[joined - n, 0], children[joined - n, 1] = p[alone:], q[:both]
+            made += both
+            total = np.concatenate([x[:alone], x[alone:] + y[:both], y[both:]])
+            held = np.concatenate([p[:alone], joined, q[both:]])
+        else:
+            total, held = np.concatenate([x, y]), np.concatenate([p, q])
+        order = np.argsort(-total, kind="stable")
+        total, held = total[order], held[order]
+        if len(total) == k:
+            total = total - total[-1]
+        sums[a], nodes[a], sums[b], nodes[b] = total, held, None, None
+        heapq.heappush(heap, (-int(total[0]) if k > 1 else 0, a))
+    bins = np.zeros(made, np.int64)
+    if n:
+        last = nodes[heap[0][1]]
+        bins[last] = np.arange(len(last))
+        for c in range(made - 1, n - 1, -1):
+            bins[children[c - n]] = bins[c]
+    bins = bins[:n]
     return bins, np.bincount(bins, weights=lengths, minlength=k).astype(np.int64) if n else np.zeros(k, np.int64)
 
 
@@ -112,9 +125,12 @@ def tokenized_pieces(docs: DataFrame, vocabulary_file: str | None = None, capaci
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:
-    """The saved table pieces(doc_id, start, length, ...) with sequence_id and offset; a sequence is gapless from 0."""
-    total = pieces.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(total / (windows * capacity)))
+    """The saved table pieces(doc_id, start, length, ...) with sequence_id and offset; a sequence is gapless from 0.
+
+    A row's place in the table takes part in the draw of its shard, so that rows alike, however many, are spread.
+    """
+    total, rows = pieces.agg(F.sum(F.when(F.col("length") < capacity, F.col("length"))), F.count(F.lit(1))).first()
+    shards = max(1, round((total or 0) / (windows * capacity)), -(-rows // SHARD_PIECES))
     others = [c for c in pieces.columns if c not in ("doc_id", "start", "length")]
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +141,7 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, windows: int =
         return pdf.drop(columns="_shard")
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("_shard").applyInPandas(work, schema)
 
 

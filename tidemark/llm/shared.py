@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,8 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for a work table or folder; its content outlives any executor."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path for a work table or folder, with the scheme of its file system; its content outlives any executor."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -58,14 +58,22 @@ def id_bucket(name: str, n: int) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keeps Arrow batches of whole texts small, so that a worker's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keeps Arrow batches of whole texts small in rows and bytes, so that a worker's memory does not follow the length of texts.
+
+    The setting is the session's, as plans read it when they run; a smaller one of the caller's stays.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= value:
+            spark.conf.set(key, str(value))
 
 
 def open_fs(uri: str):
-    """(file system, path) of a folder in any store that pyarrow knows; a plain path is a local one."""
+    """(file system, path) of a folder in any store that pyarrow knows, given with its scheme."""
     from pyarrow import fs
 
+    if ":" not in uri:
+        raise ValueError(f"{uri} names no file system: Spark and pyarrow might take it for different places")
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+    return fs.FileSystem.from_uri(uri)

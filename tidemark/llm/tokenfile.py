@@ -111,7 +111,7 @@ def _sample(docs: DataFrame, n: int) -> list[str]:
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the ids of every whole text to files in a shared folder; returns the manifest, one row per file: name, first_id, docs, tokens.
+    """Writes the ids of every whole text to files in a shared folder; returns the manifest, one row per file: name, first_id, last_id, docs, tokens.
 
     A null text is the empty text: its ids are the end id alone. Documents stand in ascending order of doc_id, a null
     id first, rows that repeat an id next to each other in some order. An empty table gives no file. Other columns are not looked at.
@@ -139,18 +139,19 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary_file: str | None = Non
                 writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"name": [name], "first_id": pa.array([writer.ids[0]], pa.int64()), "docs": pa.array([len(writer.ids)], pa.int64()), "tokens": pa.array([sum(writer.sizes)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"name": [name], "first_id": pa.array([writer.ids[0]], pa.int64()), "last_id": pa.array([writer.ids[-1]], pa.int64()), "docs": pa.array([len(writer.ids)], pa.int64()), "tokens": pa.array([sum(writer.sizes)], pa.int64())})
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return save(ordered.mapInArrow(work, "name string, first_id long, docs long, tokens long"), "token-manifest")
+    # rows that repeat an id, however many, are dealt to several files by their text
+    ordered = rows.withColumn("_salt", F.xxhash64("text")).repartitionByRange("doc_id", "_salt").sortWithinPartitions("doc_id", "_salt").drop("_salt")
+    return save(ordered.mapInArrow(work, "name string, first_id long, last_id long, docs long, tokens long"), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Reads the manifest's files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     spark: SparkSession = manifest.sparkSession
-    listed = sorted((r["first_id"], r["name"], r["docs"], r["tokens"]) for r in manifest.collect())  # one row per file
+    listed = sorted((r["first_id"], r["last_id"], r["name"], r["tokens"]) for r in manifest.collect())  # one row per file
     starts = np.concatenate([[0], np.cumsum([x[3] for x in listed], dtype=np.int64)])
-    parts = [(x[1], int(start)) for x, start in zip(listed, starts, strict=False)]
+    parts = [(x[2], int(start)) for x, start in zip(listed, starts, strict=False)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_fs(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import compress, repeat
 from operator import is_
 
@@ -27,9 +28,7 @@ def _tokenizer(file: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(file)
 
 
 class WordEncoder:
@@ -37,10 +36,13 @@ class WordEncoder:
 
     Their patterns never cross ASCII white space, so a text's ids are the ids of the words between it, in lower-case
     A-Z, one after another. Frequent words are encoded once, plain words by the model alone: the cache is bounded, and what it lacks is encoded anew.
+    The vocabulary's special strings inside a text give their own ids, as the library does by default.
     """
 
     def __init__(self, file: str, cache_words: int = 1_000_000):
-        self.tokenizer = _tokenizer(file)
+        self.tokenizer, self.whole = _tokenizer(file), _tokenizer(file)
+        self.tokenizer.encode_special_tokens = True  # words hold no special string; one in other letters is ordinary text
+        self.special = [str(t) for t in self.whole.get_added_tokens_decoder().values()]
         self.cache, self.most = {}, cache_words
 
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -65,7 +67,12 @@ class WordEncoder:
         return {w: ids[a:b] for w, a, b in zip(words, cut, cut[1:], strict=False)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers; a text with a special string is encoded as it is."""
+        special = {i: array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes() for i, text in enumerate(texts) if any(x in text for x in self.special)}
+        found = self._by_words([text for i, text in enumerate(texts) if i not in special])
+        return [special[i] if i in special else next(found) for i in range(len(texts))]
+
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
         get, missing, split, parts = self.cache.get, set(), [], []
         for text in texts:
             split.append(words := text.encode().lower().split())
@@ -74,7 +81,7 @@ class WordEncoder:
         fresh = self._fresh(list(missing)) if missing else {}
         if len(self.cache) < self.most:
             self.cache.update((w, b) for w, b in fresh.items() if len(w) <= 40)
-        return [b"".join([fresh[w] if b is None else b for w, b in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
+        return iter([b"".join([fresh[w] if b is None else b for w, b in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)])
 
 
 class ByteEncoder:
@@ -82,6 +89,7 @@ class ByteEncoder:
 
     The file's vocabulary, in which an id is also the rank of its merge, goes to tiktoken's encoder with the splitting
     pattern of byte-level vocabularies: the ids are the same (tests hold them against tokenizers over every code point) and come several times as fast.
+    The vocabulary's special strings inside a text give their own ids, as the tokenizers library does by default.
     """
 
     def __init__(self, file: str):
@@ -91,14 +99,12 @@ class ByteEncoder:
         self.tokenizer = _tokenizer(file)
         letters = {chr(c): b for b, c in _BYTE_LETTERS.items()}
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        self.table = {i: token for token, i in ranks.items()}
-        self.size = self.tokenizer.get_vocab_size()
-        self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={str(t): i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        one = self.ranked.encode_ordinary
-        return [array("I", one(text)).tobytes() for text in texts]
+        one = self.ranked.encode
+        return [array("I", one(text, allowed_special="all")).tobytes() for text in texts]
 
 
 def encoder(file: str, kind: type = ByteEncoder):
