@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import chat, components, exact, mixing, onebit, packing, simhash, tokenfile, tokens, toxicity
+from tidemark.llm import chat, components, exact, mixing, onebit, packing, shared, simhash, tokenfile, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, size string, copies int, root long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -73,35 +74,51 @@ def test_empty_table(spark, call):
     assert call(table(spark, [])).count() == 0
 
 
-def test_mix(spark):
+def fill(sizes, weights, epochs=3):
+    """Targets by raising the level source by source, in fractions."""
+    order = sorted(range(len(sizes)), key=lambda i: Fraction(epochs * sizes[i], weights[i]))
+    left, open_, out = Fraction(sum(sizes)), sum(weights), {}
+    for i in order:
+        out[i] = min(Fraction(epochs * sizes[i]), left * weights[i] / open_)
+        left, open_ = left - out[i], open_ - weights[i]
+    return [out[i] for i in range(len(sizes))]
+
+
+def test_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 20)
     rows = some_rows()
+    rows += [(None, f"null id {i} " + "w " * (i % 5), "a") for i in range(60)] + [(7, "again and again", "b")] * 30 + [(None, None, "a"), (400, "x y z", "\U0001F600"), (401, "x y z w", "\uffee")]
     got = mixing.mix(table(spark, rows), bins=8).collect()
-    sizes = {i: len([w for w in SPACE.split(t or "") if w]) for i, t, _ in rows}
+    size = lambda t: len([w for w in SPACE.split(t or "") if w])
     names = sorted({s for _, _, s in rows if s is not None}) + [None]
-    by_source = {n: sum(sizes[i] for i, _, s in rows if s == n) for n in names}
-    targets = dict(zip(names, mixing.water_fill([by_source[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
-    source = {i: s for i, _, s in rows}
-    taken = {n: 0 for n in names}
+    by_source = {n: sum(size(t) for _, t, s in rows if s == n) for n in names}
+    targets = dict(zip(names, fill([by_source[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    assert sorted((str(i), size(t), by_source[s], float(targets[s])) for i, t, s in rows) == sorted((str(r["doc_id"]), r["size"], r["source_size"], r["target"]) for r in got)
+    source = {(by_source[n], float(targets[n])): n for n in names}
+    assert len(source) == len(names)
+    taken = dict.fromkeys(names, 0)
     for r in got:
-        assert r["size"] == sizes[r["doc_id"]] and r["source_size"] == by_source[source[r["doc_id"]]]
-        assert 0 <= r["taken"] <= 3 * r["size"] and r["target"] == float(targets[source[r["doc_id"]]])
-        taken[source[r["doc_id"]]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[source[r["source_size"], r["target"]]] += r["taken"]
     assert all(abs(taken[n] - targets[n]) <= 1 for n in names)
     again = mixing.mix(table(spark, rows).repartition(3), bins=8).collect()
-    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+    assert sorted((str(r["doc_id"]), r["taken"]) for r in got) == sorted((str(r["doc_id"]), r["taken"]) for r in again)
 
 
-def test_water_fill():
-    out = mixing.water_fill([10, 100, 0, 5], [5, 2, 1, 5])
-    assert out[0] == 30 and out[2] == 0 and out[3] == 15 and sum(out) == 115
-    assert mixing.water_fill([8, 8], [1, 1]) == [Fraction(8), Fraction(8)]
-    assert mixing.water_fill([], []) == []
+@pytest.mark.parametrize("sizes", [[10, 100, 0, 5], [8, 8], [0, 0], [5], [1, 1, 1, 10**12, 3, 7 * 10**11], []])
+def test_water_fill(spark, sizes):
+    rows = spark.createDataFrame([(f"s{i:02d}" if i else None, x) for i, x in enumerate([*sizes[-1:], *sizes[:-1]])], "source string, source_size long")
+    out = mixing.water_fill(shared.save(rows, "t")).collect()
+    want = fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    got = [next(r for r in out if r["source"] == (f"s{i + 1:02d}" if i < len(sizes) - 1 else None)) for i in range(len(sizes))]
+    for x, t, r in zip(sizes, want, got, strict=True):
+        assert r["target"] == float(t) and abs(r["whole"] * x + r["extra"] - t) <= Fraction(1, 2) and 0 <= r["extra"] <= x
 
 
 def test_repeat_rows(spark):
     docs = table(spark, some_rows())
     out = mixing.repeat_rows(docs, bins=4)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and out.filter("doc_id is null").isEmpty()
     words = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(docs, bins=4).collect()}
     times = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     for i, (size, taken) in words.items():
@@ -111,9 +128,7 @@ def test_repeat_rows(spark):
 
 @functools.cache
 def plain_tokenizer(file):
-    t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(file))
 
 
 def plain_ids(file, text):
@@ -124,7 +139,7 @@ def odd_texts():
     rng = np.random.default_rng(1)
     letters = list("ab 'sS.,!ßéΣσİ\t\n\r\v  1²́\x00\x1c\xa0　中😀<|>_-\\")
     texts = ["".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(1500)]
-    return [*texts, "don't I'll  x'\n\n\n y", "  ", "\n", "", "a <|endoftext|> b <|startoftext|>", " lead", "trail ", "x" * 5000]
+    return [*texts, "don't I'll  x'\n\n\n y", "  ", "\n", "", "a <|endoftext|> b <|startoftext|>", "x<|endoftext|>", "<|ENDOFTEXT|><|endoftext|>.,a<|startoftext|>!? <|endoftext", "\n <|endoftext|>\n  <|endoftext|> ", " lead", "trail ", "x" * 5000]
 
 
 def test_word_ids():
@@ -184,11 +199,44 @@ def test_differencing():
     lengths = rng.integers(1, 2049, 700)
     bins = packing.pack_lengths(lengths)
     assert np.bincount(bins, lengths).max() <= 2048
+    for n, k in ((1, 1), (1, 4), (3, 1), (4, 9), (300, 7), (50, 50)):
+        lengths = rng.integers(1, 100, n)
+        bins, sums = packing.differencing(lengths, k)
+        assert len(bins) == n and bins.max() < k and np.bincount(bins, lengths, k).tolist() == sums.tolist()
+    bins, sums = packing.differencing(np.ones(20_000, np.int64), 10)
+    assert sums.min() >= 1999
     lengths = np.array([b for n in rng.integers(1, 4000, 900) for _, b in packing.cuts(int(n))])
     used = len(set(packing.pack_lengths(lengths).tolist()))
     assert lengths.sum() / (used * 2048) > 0.98
 
 
+def test_differencing_is_bounded_in_memory():
+    tracemalloc.start()
+    packing.differencing(np.ones(50_000, np.int64), 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
+def test_pack_of_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    out = packing.pack(table(spark, [(None, None, "s")] * 700 + [(1, "a b c", "s")] * 300))
+    assert out.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.max(F.col("offset") + F.col("length")).alias("end")).filter("words <> end or end > 2048").isEmpty()
+    assert out.count() == 1000 and out.select(F.shiftright("sequence_id", 32)).distinct().count() > 5
+
+
+def test_token_files_with_repeated_and_missing_ids(spark):
+    rows = [(5, f"text {i % 7}", "s") for i in range(60)] + [(None, "no id", "s"), (None, None, "s"), (4, "four", "s"), (6, "", "s")]
+    out = sorted(tokenfile.token_table(table(spark, rows)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None, None, 4, *[5] * 60, 6]
+    at = 0
+    for r in out:
+        assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
+        at += r["n_tokens"]
+    want = sorted(tuple([*plain_ids("word_bpe_49k.json", t or ""), 2]) for _, t, _ in rows)
+    assert sorted(tuple(np.frombuffer(r["ids"], "<u4").tolist()) for r in out) == want
+
+
 def test_token_files(spark):
     rows = some_rows()
     out = {r["doc_id"]: r for r in tokenfile.token_table(table(spark, rows)).collect()}
