@@ -116,7 +116,7 @@ def deal_thresholds(n: int, same: list[float], differ: list[list[float]], distan
     same: the share of pairs alike in the partition; differ: for each of its bits the share of pairs that differ in it.
     Pairs within t bits are estimated from `same` times the odds of the bits that differ, as if bits were independent.
     """
-    parts = len(same)
+    parts, n = len(same), max(n, 1)
 
     def cost(i: int, t: int) -> float:
         if t < 0:
@@ -179,6 +179,8 @@ def _apart(a: str, b: str) -> Column:
 def link_prints(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """(node, root) of the saved table nodes(fp) of distinct fingerprints: components of the pairs within the distance. Nodes without such a pair are left out."""
     n, together = bit_counts(nodes)
+    if n < 2:
+        return nodes.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
     groups = group_bits(n, together, parts)
     p = np.diag(together) / max(n, 1)
     masks = [sum(1 << b for b in g) for g in groups]
