@@ -39,9 +39,11 @@ def some_rows():
     return rows
 
 
-def test_exact_copies(spark):
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_exact_copies(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact, "HOT", 20)
     rows = some_rows()
-    out = {r["doc_id"]: r for r in exact.find_copies(table(spark, rows), bucket_keys=4).collect()}
+    out = {r["doc_id"]: r for r in exact.find_copies(table(spark, rows), bucket_keys=4, key_bits=bits).collect()}
     groups = {}
     for i, t, _ in rows:
         groups.setdefault(SPACE.sub(" ", t or ""), []).append(i)
@@ -53,6 +55,12 @@ def test_exact_copies(spark):
             assert bytes(r["text_sha256"]) == hashlib.sha256(text.encode()).digest()
 
 
+def test_exact_result_comes_through_the_index(spark, monkeypatch):
+    docs = table(spark, [(1, "a b", "s"), (2, "a  b", "s"), (3, "c", "s")])
+    monkeypatch.setattr(exact, "build_index", lambda keys, n: keys.limit(0).selectExpr("0L as bucket", "0 as depth", "key", "copies"))
+    assert exact.find_copies(docs).filter("kept").count() == 3
+
+
 def test_exact_keeps_columns_and_one_of_repeated_rows(spark):
     rows = [(1, "a b", "s"), (1, "a b", "s"), (2, "a  b", "s"), (3, "c", "s"), (3, "d", "s"), (None, "a b", "s"), (None, None, None)]
     docs = table(spark, rows)
@@ -62,11 +70,16 @@ def test_exact_keeps_columns_and_one_of_repeated_rows(spark):
     assert out.filter("doc_id is null").count() == 2
 
 
-def test_directory_splits_overfull_buckets():
-    counts = {0: 5, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1, 7: 1}
-    buckets = exact.split_buckets(counts, 3, 3)
-    assert sorted(buckets) == sorted([(0, 3, 5), (1, 3, 1), (1, 2, 2), (1, 1, 2)])
-    assert exact.split_buckets({}, 2, 3) == [(0, 0, 0)]
+def test_directory_splits_overfull_buckets(spark):
+    numbers = [0, 1, 1 << 59, 3 << 58, 1 << 61, 1 << 62, 3 << 62, (1 << 63) + 5]
+    keys = shared.save(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, 1) for x in numbers], "key long, copies long"), "t")
+    held = {}
+    for r in exact.build_index(keys, 2).collect():
+        assert r["bucket"] % (1 << 64) >> (64 - r["depth"]) == r["key"] % (1 << 64) >> (64 - r["depth"])
+        held.setdefault((r["bucket"], r["depth"]), []).append(r["key"])
+    assert sum(map(len, held.values())) == len(numbers) and all(len(x) <= 2 for x in held.values())
+    assert {d for _, d in held} >= {2, 3, 5}
+    assert exact.build_index(shared.save(keys.limit(0), "t")).count() == 0
 
 
 @pytest.mark.parametrize("call", [exact.find_copies, exact.drop_copies, mixing.mix, mixing.repeat_rows, packing.pack, tokenfile.token_table, simhash.near_copies, lambda d: toxicity.score(d, None)])

@@ -1,22 +1,28 @@
 """Exact dedup on an extendible-hash index in shared files.
 
-DataFrame functions only. Postings (id, key, digest) are written once per row. Their keys form the index: a directory
-of key prefixes, doubled while buckets are overfull, maps each key to a bucket; a bucket is a range of keys, so
-range-partitioned owner tasks hold whole buckets in key order. Keys met more than once are chains: their rows'
-texts are compared byte by byte (grouping on the text itself, pre-aggregated before the shuffle), so two texts
-with one key stay apart.
+DataFrame functions only. Postings (id, key, digest) are written once per row. Their keys form the index: buckets are ranges
+of keys, named by a prefix of bits; each overfull bucket is split in two, as the directory doubles, until none is left. What
+the index tells of a key decides its rows: a key met once is done; the texts of the others go to the owner tasks of
+their buckets' ranges, which chain the texts of one key and compare them byte by byte, so two texts with one key stay
+apart. The copies of a hot key are combined by slices before they go there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from math import log2
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_KEYS, SPACES, bounded, save, text_or_empty
 
-#: Keys in a bucket before it splits; at most so many directory slots, beyond which buckets grow.
+#: Keys in a bucket before it splits.
 BUCKET_KEYS = 4096
-MOST_SLOTS = 1 << 16
+#: Rows of a key above which its texts are combined by slices of rows before an owner gets them.
+HOT, SLICES = 64, 16
+#: Bits of a key.
+BITS = 64
 
 
 def normalised(name: str = "text") -> Column:
@@ -24,64 +30,63 @@ def normalised(name: str = "text") -> Column:
 
 
 def slot_of(key: str, depth: int) -> Column:
-    """The first bits of a key: its directory slot at a depth of 1 or more."""
-    return F.shiftrightunsigned(F.col(key), 64 - depth)
+    """The first bits of a key, the others zero: the least key of its bucket at that depth, in the order of unsigned numbers."""
+    return F.shiftleft(F.shiftrightunsigned(F.col(key), BITS - depth), BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def split_buckets(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Buckets (slot prefix, local depth, keys) from key counts by slot at the given depth.
+def build_index(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The index files' rows (bucket, depth, key, copies) of a saved table of distinct keys, in buckets of at most so many keys.
 
-    Starts with one bucket and splits each overfull one in two, as the directory doubles, down to the given depth.
+    The directory starts at the greatest depth at which buckets are full on average. Each round counts the keys of the
+    open buckets, closes those that hold no more than their capacity and splits the others by one bit more.
     """
-    done, todo = [], [(0, 0)]
-    prefix_sums = [0]
-    for slot in range(1 << depth):
-        prefix_sums.append(prefix_sums[-1] + counts.get(slot, 0))
-    while todo:
-        prefix, local = todo.pop()
-        first, last = prefix << (depth - local), (prefix + 1) << (depth - local)
-        held = prefix_sums[last] - prefix_sums[first]
-        if held > capacity and local < depth:
-            todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
-        else:
-            done.append((prefix, local, held))
-    return done
-
-
-def build_index(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """The index files' rows (bucket, depth, key, copies) of a saved table of distinct keys."""
-    spark = keys.sparkSession
-    n = keys.count()
-    capacity = max(bucket_keys, -(-4 * n // MOST_SLOTS))
-    depth = 1
-    while (capacity << depth) < 4 * n:
+    n, closed, open_ = keys.count(), [], keys
+    depth = max(0, int(log2(max(n, 1) / bucket_keys)))
+    while True:
+        placed = open_.withColumn("bucket", slot_of("key", depth)).withColumn("depth", F.lit(depth))
+        full = save(placed.groupBy("bucket").count().filter(F.col("count") > bucket_keys).select("bucket"), "exact-overfull")
+        if depth == BITS or full.isEmpty():
+            break
+        closed.append(placed.join(bounded(full), "bucket", "left_anti"))
+        open_ = placed.join(bounded(full), "bucket", "left_semi").select(*keys.columns)
         depth += 1
-    counts = {r["slot"]: r["count"] for r in keys.groupBy(slot_of("key", depth).alias("slot")).count().collect()}  # at most MOST_SLOTS rows
-    buckets = split_buckets(counts, depth, capacity)
-    directory = [(slot, prefix << (depth - local), local) for prefix, local, _ in buckets for slot in range(prefix << (depth - local), (prefix + 1) << (depth - local))]
-    slots = spark.createDataFrame(directory, "slot long, bucket long, depth int")
-    placed = keys.withColumn("slot", slot_of("key", depth)).join(F.broadcast(slots), "slot").drop("slot")
-    return placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    rows = reduce(DataFrame.unionByName, [*closed, placed]).select("bucket", "depth", "key", "copies")
+    return rows.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+
 
+def chained(members: DataFrame) -> DataFrame:
+    """Groups (key, text, keep_id, group_size) of members(bucket, key, copies, doc_id, text), by owner tasks of bucket ranges.
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    An owner holds all texts of a key. In their order, each is compared with the one before it: a text that differs begins
+    the next link of the key's chain.
+    """
+    hot = members.filter(F.col("copies") > HOT).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
+    hot = hot.groupBy("slice", "bucket", "key", "text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).drop("slice")
+    cold = members.filter(F.col("copies") <= HOT).select("bucket", "key", "text", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("n"))
+    owned = cold.unionByName(hot.select(*cold.columns)).repartitionByRange("bucket", "key")
+    chain = Window.partitionBy("bucket", "key").orderBy("text")
+    begins = owned.withColumn("begins", F.coalesce((F.col("text") != F.lag("text").over(chain)).cast("int"), F.lit(1)))
+    links = begins.withColumn("link", F.sum("begins").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = links.withColumn("sha", F.when(F.col("begins") == 1, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))).drop("text")
+    return sized.groupBy("bucket", "key", "link").agg(F.max("sha").alias("sha"), F.min("first").alias("keep_id"), F.sum("n").alias("group_size"))
+
+
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (binary digest of the normalised text).
 
     Texts are equal when identical after each run of ASCII white space is replaced by one space. A null text is the
     empty text, which is a text like any other: rows without text form one group. Of a group, the row with the
     smallest doc_id stays; a row without doc_id stays only if no row of its group has one. Rows that repeat one doc_id with equal texts
     are counted in group_size and flagged alike (drop_copies keeps one of them). An empty table gives an empty
-    result; columns other than the two named are not looked at.
+    result; columns other than the two named are not looked at. Fewer key_bits make keys collide more often, with the same result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = rows.select("doc_id", normalised().alias("text")).withColumn("key", F.xxhash64("text"))
+    keyed = rows.select("doc_id", normalised().alias("text")).withColumn("key", F.shiftleft(F.xxhash64("text"), BITS - key_bits))
     postings = save(keyed.select("doc_id", "key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), "exact-postings")
     keys = save(postings.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "exact-keys")
     index = save(build_index(keys, bucket_keys), "exact-index")
-    chains = index.filter("copies > 1").select("key")
-    members = keyed.join(bounded(chains, BROADCAST_KEYS), "key", "left_semi")
-    groups = members.groupBy("key", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = save(groups.select("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "keep_id", "group_size"), "exact-groups")
+    again = index.filter("copies > 1").select("bucket", "key", "copies")
+    groups = save(chained(keyed.join(bounded(again, BROADCAST_KEYS), "key")).select("key", "sha", "keep_id", "group_size"), "exact-groups")
     found = postings.join(bounded(groups), ["key", "sha"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
