@@ -358,7 +358,9 @@ def test_nearest(spark):
     rows = [(i, [float(v) for v in x[i]], "c") for i in range(700)]
     rows += [(700, None, "c"), (701, [0.0] * 16, "c"), (702, [float("nan")] + [1.0] * 15, "c"), (703, [None] + [1.0] * 15, "c"), (704, [float("inf")] * 16, "c"), (705, [], "c"), (None, [1.0] * 16, "c"), (720, [1.0, 2.0], "c"), (721, [3.0, 2.0], "c")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim string")
-    out = onebit.nearest(vectors, F.col("vec_id") % 20 == 0, block_rows=200).collect()
+    compared = []
+    out = onebit.nearest(vectors, F.col("vec_id") % 20 == 0, block_rows=200, compared=compared).collect()
+    assert sum(a for a, _ in compared) < sum(b for _, b in compared)
     found = {}
     for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -372,6 +374,8 @@ def test_nearest(spark):
         hits += len({i for i, _ in found[q]} & set(order))
     assert hits / (35 * 20) > 0.95
     assert found[720] == [(721, 7.0)] and set(found) == {*range(0, 700, 20), 720}
+    twice = spark.createDataFrame([(20, [1.0, 0.0], "c"), (20, [0.0, 1.0], "c"), (1, [1.0, 2.0], "c"), (1, [1.0, 2.0], "c"), (2, [3.0, 1.0], "c")], vectors.schema)
+    assert sorted(tuple(r) for r in onebit.nearest(twice, F.col("vec_id") % 20 == 0, k=2).collect()) == [(20, 1, 1, 2.0), (20, 1, 2, 3.0), (20, 2, 1, 1.0), (20, 2, 1, 2.0)]
     assert onebit.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 

@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product over randomly rotated one-bit codes.
 
 A vector, less a centre, is rotated and kept as the signs of its coordinates (packed bits) with correction scalars: its length,
-its inner product with the centre and how well the signs align with it. A query gets an estimate of each inner
-product and a bound of the estimate's error from these alone; only vectors whose upper bound reaches the worst of the
-best lower bounds are compared exactly, on the original numbers in double precision.
-
-The index is written to the shared folder in blocks. Queries are a stated set; they go to all blocks in passes of a bounded
-number, and each block returns its best for each query.
+its inner product with the centre and how well the signs align with it. Short vectors are turned by several rotations, one
+after another, so that a code has about CODE_BITS bits. A query gets an estimate of each inner product and a bound of
+the estimate's error from these alone; only vectors whose upper bound reaches the worst of the best lower bounds are
+compared exactly, on the original numbers in double precision.
+
+The index is a table of blocks in the shared folder; the scan reads codes and scalars, and the blocks' numbers are read only for
+the vectors that it leaves. Queries are a stated set; they go to all blocks in passes of a bounded number, one pass
+after another, and each block returns its best for each query.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import save, work_path
 
 NEAREST = 20
 BLOCK_ROWS = 8192
@@ -27,16 +30,22 @@ PASS_QUERIES = 20_000
 PASS_NUMBERS = 4_000_000
 #: Vectors that the centre is the mean of at most.
 CENTRE_ROWS = 4096
+#: Bits of a code, about; rotations of a vector at most.
+CODE_BITS, ROTATIONS = 512, 8
 #: Width of the error bound, in standard deviations of the estimate.
 EPSILON = 1.9
-#: Queries and vectors whose estimates are held at once in a task.
-TILE = (256, 8192)
+#: Queries whose estimates for a block are held at once in a task.
+TILE = 256
 
 
 def rotation(dim: int, seed: int = 42) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Random orthogonal matrices side by side, scaled so that they keep lengths together."""
+    rng, n = np.random.default_rng(seed), max(1, min(ROTATIONS, CODE_BITS // dim))
+    turns = []
+    for _ in range(n):
+        q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
+        turns.append(q * np.sign(np.diag(r)))
+    return np.concatenate(turns, axis=1) / np.sqrt(n)
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,37 +53,65 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     moved = vectors - centre
     length = np.linalg.norm(moved, axis=1)
     turned = (moved / np.where(length > 0, length, 1)[:, None]) @ turn
-    align = np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
+    align = np.abs(turned).sum(1) / np.sqrt(turn.shape[1])
     return np.packbits(turned > 0, axis=1), length, vectors @ centre, np.where(length > 0, align, 1.0)
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: tuple, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, exact score) of each query's best k in a block of vectors in order of id, the query's own id left out."""
-    packed, length, offset, align = codes
-    dim = vectors.shape[1]
-    signs = (2.0 * np.unpackbits(packed, axis=1, count=dim) - 1).astype(np.float32) / np.float32(np.sqrt(dim))
-    around = np.sqrt(np.maximum(1 - align**2, 0)) / (align * np.sqrt(max(dim - 1, 1)))
-    out = []
-    for at in range(0, len(queries), TILE[0]):
-        q = queries[at : at + TILE[0]]
-        turned = (q @ turn).astype(np.float32)
-        estimate = (turned @ signs.T) * (length / align) + offset
-        error = np.linalg.norm(q, axis=1)[:, None] * (epsilon * length * around)[None, :]
-        # rounding of single precision counts as an error as well
-        error += 1e-5 * (np.abs(estimate) + np.linalg.norm(q, axis=1)[:, None] * length[None, :])
-        own = query_ids[at : at + TILE[0], None] == ids[None, :]
-        low = np.where(own, -np.inf, estimate - error)
-        bar = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
-        row, column = np.nonzero((estimate + error >= bar[:, None]) & ~own)
-        score = np.empty(len(row))
-        for a in range(0, len(row), 1 << 16):
-            score[a : a + (1 << 16)] = (q[row[a : a + (1 << 16)]] * vectors[column[a : a + (1 << 16)]]).sum(1)
-        order = np.lexsort((ids[column], -score, row))
-        row, column, score = row[order], column[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        best = rank < k
-        out.append((query_ids[at + row[best]], ids[column[best]], score[best]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def alike_beyond(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Marks each vector that comes after `most` others with the same numbers: never among the nearest, as ties go to smaller ids."""
+    _, kind = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.searchsorted(kind[order], kind[order])
+    return rank >= most
+
+
+class Scan:
+    """Estimates of one pass of queries over blocks of codes: candidates by block, and each query's best lower bounds so far."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, turn: np.ndarray, k: int, epsilon: float):
+        self.ids, self.k, self.epsilon = query_ids, k, epsilon
+        self.turned, self.norm = (queries @ turn).astype(np.float32), np.linalg.norm(queries, axis=1)
+        self.lows = np.full((len(queries), k), -np.inf)
+
+    def block(self, ids: np.ndarray, packed: np.ndarray, length: np.ndarray, offset: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, upper bound) of the block's rows, given in order of id, that reach the query's bar; its own id is left out."""
+        bits = self.turned.shape[1]
+        signs = (2.0 * np.unpackbits(packed, axis=1, count=bits) - 1).astype(np.float32) / np.float32(np.sqrt(bits))
+        around = np.sqrt(np.maximum(1 - align**2, 0)) / (align * np.sqrt(max(bits - 1, 1)))
+        out = []
+        for a in range(0, len(self.ids), TILE):
+            own, norm = self.ids[a : a + TILE], self.norm[a : a + TILE]
+            estimate = (self.turned[a : a + TILE] @ signs.T) * (length / align) + offset
+            error = norm[:, None] * (self.epsilon * length * around)[None, :]
+            # rounding of single precision counts as an error as well
+            error += 1e-5 * (np.abs(estimate) + norm[:, None] * length[None, :])
+            low = estimate - error
+            first = np.searchsorted(ids, own, "left")
+            for i in np.flatnonzero(first < np.searchsorted(ids, own, "right")):
+                mine = ids == own[i]
+                low[i, mine], estimate[i, mine] = -np.inf, -np.inf
+            best = np.partition(low, -self.k, axis=1)[:, -self.k :] if low.shape[1] > self.k else low
+            both = np.concatenate([self.lows[a : a + TILE], best], axis=1)
+            self.lows[a : a + TILE] = np.partition(both, -self.k, axis=1)[:, -self.k :]
+            bar = self.lows[a : a + TILE].min(1)
+            high = estimate + error
+            row, column = np.nonzero((high >= bar[:, None]) & (estimate > -np.inf))
+            out.append((row + a, column, high[row, column]))
+        row, column, high = (np.concatenate(x) for x in zip(*out, strict=True))
+        return row.astype(np.int32), column.astype(np.int32), high.astype(np.float64)
+
+
+def compare(queries: np.ndarray, query: np.ndarray, row: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, exact score) of the best k rows for each query."""
+    score = np.empty(len(row))
+    for a in range(0, len(row), 1 << 15):
+        part = slice(a, a + (1 << 15))
+        score[part] = (queries[query[part]] * vectors[row[part]]).sum(1)
+    order = np.lexsort((ids[row], -score, query))
+    query, row, score = query[order], row[order], score[order]
+    best = np.arange(len(row)) - np.searchsorted(query, query) < k
+    return query[best], ids[row[best]], score[best]
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -84,68 +121,113 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = NEAREST, block_rows: int = BLOCK_ROWS, epsilon: float = EPSILON, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = NEAREST, block_rows: int = BLOCK_ROWS, epsilon: float = EPSILON, id_col: str = "vec_id", vector_col: str = "embedding", compared: list | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k nearest found by inner product, ties to the smaller vec_id.
 
     is_query: a condition on vec_id. Vectors that are null, empty, all zero or hold null or non-finite components, and
     rows without an id, take no part. Queries meet the vectors with as many components as they have. A query's own id is left out,
-    other rows with its numbers are not; rows that repeat an id are candidates each. Fewer candidates than k
-    give all of them; an empty table or no query gives no rows.
+    other rows with its numbers are not; rows that repeat an id are candidates each, and where their id is a query's each has
+    its own list. Fewer candidates than k give all of them; an empty table or no query gives no rows. To the list
+    `compared` each pass adds its pairs compared exactly and its pairs of query and vector.
     """
     spark = vectors.sparkSession
     rows = save(_usable(vectors, id_col, vector_col), "onebit-vectors")
-    found = None
+    out, written = work_path(spark, "onebit-nearest"), False
     for dim, n in sorted((r["dim"], r["count"]) for r in rows.groupBy(F.size("vector").alias("dim")).count().collect()):
         own = rows.filter(F.size("vector") == dim)
+        asked = own.filter(is_query)
+        passes = -(-asked.count() // max(1, min(PASS_QUERIES, PASS_NUMBERS // dim)))
+        if not passes:
+            continue
         drawn = np.array([r["vector"] for r in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_ROWS).collect()])
         centre, turn = drawn.mean(0), rotation(dim)
-        per_pass = max(1, min(PASS_QUERIES, PASS_NUMBERS // dim))
-        asked = own.filter(is_query)
-        passes = -(-asked.count() // per_pass)
-        index = save(_encoded(own.repartition(-(-n // block_rows), "vec_id").sortWithinPartitions("vec_id"), dim, centre, turn), "onebit-index")
+        index = save(_encoded(own.repartition(-(-n // block_rows), "vec_id").sortWithinPartitions("vec_id"), dim, centre, turn, k, block_rows), "onebit-index")
         for i in range(passes):
             some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).orderBy("vec_id").collect()
-            part = _scan(index, spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some], np.int64), np.array([r["vector"] for r in some]).reshape(-1, dim))), dim, centre, turn, k, epsilon)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if some:
+                ids, numbers = np.array([r["vec_id"] for r in some], np.int64), np.array([r["vector"] for r in some])
+                _pass(index, ids, numbers, turn, k, epsilon, compared).write.mode("append").parquet(out)
+                written = True
+                if compared is not None:
+                    compared[-1] = (compared[-1], len(ids) * n)
+    schema = "query_id long, rank int, vec_id long, score double"
+    return spark.read.schema(schema).parquet(out) if written else spark.createDataFrame([], schema)
 
 
-def _encoded(rows: DataFrame, dim: int, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """Index blocks: one row for up to so many vectors, with ids, numbers, packed bits and scalars as binary columns."""
+def _encoded(rows: DataFrame, dim: int, centre: np.ndarray, turn: np.ndarray, k: int, block_rows: int) -> DataFrame:
+    """Index blocks: one row for up to so many vectors, with ids, packed bits, scalars and numbers as binary columns."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.asarray(batch.column(0), np.int64)
-            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, dim)
-            packed, *scalars = encode(x, centre, turn)
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, x, packed, *scalars)], names=["ids", "vectors", "bits", "length", "offset", "align"])
+        held, block = [], TaskContext.get().partitionId() << 32
 
-    return rows.select("vec_id", "vector").mapInArrow(work, "ids binary, vectors binary, bits binary, length binary, offset binary, align binary")
+        def made() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            ids = table.column(0).to_numpy().astype(np.int64)
+            x = table.column(1).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+            kept = ~alike_beyond(x, k + 1)
+            ids, x = ids[kept], x[kept]
+            parts = (ids, *encode(x, centre, turn), x)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in parts)], names=["block", "ids", "bits", "length", "offset", "align", "vectors"])
 
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(x.num_rows for x in held) >= block_rows:
+                yield made()
+                held, block = [], block + 1
+        if held:
+            yield made()
+
+    return rows.select("vec_id", "vector").mapInArrow(work, "block long, ids binary, bits binary, length binary, offset binary, align binary, vectors binary")
+
+
+def _pass(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, epsilon: float, compared: list | None) -> DataFrame:
+    """query_id, rank, vec_id, score of one pass of queries."""
+    context = index.sparkSession.sparkContext
+    sent = context.broadcast((query_ids, queries))  # at most PASS_NUMBERS numbers
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, numbers = sent.value
+        names = ["block", "query", "row", "high", "low"]
+        scan, width = Scan(numbers, ids, turn, k, epsilon), turn.shape[1]
+        binary = lambda *x: [pa.array([None if v is None else v.tobytes()], pa.binary()) for v in x]
+        for batch in batches:
+            for line in batch.to_pylist():
+                own = np.frombuffer(line["ids"], np.int64)
+                bits = np.frombuffer(line["bits"], np.uint8).reshape(len(own), -(-width // 8))
+                found = scan.block(own, bits, *(np.frombuffer(line[c]) for c in ("length", "offset", "align")))
+                yield pa.RecordBatch.from_arrays([pa.array([line["block"]], pa.int64()), *binary(*found, None)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *binary(None, None, None, scan.lows)], names=names)
 
-def _scan(index: DataFrame, sent, dim: int, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = sent.value
+    candidates = save(index.select("block", "ids", "bits", "length", "offset", "align").mapInArrow(scan, "block long, query binary, row binary, high binary, low binary"), "onebit-candidates")
+
+    def best_lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            for line in batch.to_pylist():
-                ids = np.frombuffer(line["ids"], np.int64)
-                codes = (np.frombuffer(line["bits"], np.uint8).reshape(len(ids), -1), *(np.frombuffer(line[c]) for c in ("length", "offset", "align")))
-                found = search_block(queries, query_ids, np.frombuffer(line["vectors"]).reshape(-1, dim), ids, codes, centre, turn, k, epsilon)
-                if best is not None:
-                    found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                    order = np.lexsort((found[1], -found[2], found[0]))
-                    found = tuple(x[order] for x in found)
-                    kept = np.arange(len(order)) - np.searchsorted(found[0], found[0]) < k
-                    found = tuple(x[kept] for x in found)
-                best = found
+            for x in batch.column(0).to_pylist():
+                lows = np.frombuffer(x).reshape(-1, k)
+                best = lows if best is None else np.partition(np.concatenate([best, lows], axis=1), -k, axis=1)[:, -k:]
         if best is not None:
-            for a in range(0, len(best[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in best], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary())], names=["low"])
+
+    lows = candidates.filter("low is not null").select("low").repartition(8).mapInArrow(best_lows, "low binary").collect()  # 8 rows
+    bars = np.partition(np.concatenate([np.frombuffer(r["low"]).reshape(-1, k) for r in lows], axis=1), -k, axis=1)[:, -k]
+    level = context.broadcast(bars)
 
-    return index.mapInArrow(work, "query_id long, vec_id long, score double")
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, numbers = sent.value
+        for batch in batches:
+            for line in batch.to_pylist():
+                query, row = (np.frombuffer(line[c], np.int32) for c in ("query", "row"))
+                near = np.frombuffer(line["high"]) >= level.value[query]
+                own = np.frombuffer(line["ids"], np.int64)
+                found = compare(numbers, query[near], row[near], np.frombuffer(line["vectors"]).reshape(len(own), -1), own, k)
+                some = np.full(len(found[0]), int(near.sum()))
+                some[1:] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found[0].astype(np.int32), ids[found[0]], found[1], found[2], some)], names=["query", "query_id", "vec_id", "score", "compared"])
+
+    near = candidates.filter("block is not null").drop("low").join(index.select("block", "ids", "vectors"), "block")
+    found = save(near.mapInArrow(rerank, "query int, query_id long, vec_id long, score double, compared long"), "onebit-found")
+    if compared is not None:
+        compared.append(found.agg(F.sum("compared")).first()[0] or 0)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
