@@ -37,8 +37,9 @@ def test_repeats(spark, monkeypatch):
     texts += [texts[2] + "!" + made(rng, 230) + texts[3]]
     want = brute([t.encode() for t in texts])
     rows = [(i, t or None, "s") for i, t in enumerate(texts)]
-    for block in (repeats.BLOCK_BYTES, 333):
+    for block, shard in ((repeats.BLOCK_BYTES, repeats.SHARD_BYTES), (333, 2000)):
         monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+        monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
         got = {r["doc_id"]: r for r in repeats.find_repeats(table(spark, rows)).collect()}
         for i, t in enumerate(texts):
             data, spans, at, kept = t.encode(), want[i], 0, b""
@@ -58,5 +59,26 @@ def test_index_statistics():
     rng = np.random.default_rng(3)
     for text in [b"", b"a", b"aaaa", b"banana", b"abcabcabcab", bytes(rng.integers(97, 100, 400).astype(np.uint8))]:
         want = [max((next((k for k in range(len(text)) if i + k >= len(text) or j + k >= len(text) or text[i + k] != text[j + k]), 0) for j in range(len(text)) if j != i), default=0) for i in range(len(text))]
-        assert repeats.RunLengthIndex(text).statistics().tolist() == want, text
-        assert repeats.suffix_order(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        for ends in {(), (len(text) // 2,), (len(text) - 1,), (len(text) // 3, len(text) // 2, len(text) - 1)} if text else {()}:
+            ends = np.unique(np.array(ends, np.int64))
+            streamed = repeats.RunLengthIndex(text, ends).statistics().tolist()
+            held = ends[-1] + 1 if len(ends) else 0
+            assert streamed == want[:held] + [0] * (len(text) - held), text
+        order, rank = repeats.suffix_order(np.frombuffer(text, np.uint8))
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:]) and rank[order].tolist() == list(range(len(text)))
+
+
+def test_runs_are_few_in_a_repetitive_text():
+    rng = np.random.default_rng(4)
+    once = bytes(rng.integers(97, 123, 500).astype(np.uint8))
+    index = repeats.RunLengthIndex(once * 40, np.array([20_000 - 1]))
+    assert len(index.heads) < 600 and (index.statistics()[:19_000] >= 500).all()
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b = made(rng, 300), made(rng, 420)
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, "x" + b + "y", "s"), (None, None, "s"), (None, made(rng, 250), "s"), (None, b, "s")]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.find_repeats(table(spark, rows)).collect())
+    size = lambda t: len((t or "").encode())
+    assert got == sorted((-1 if i is None else i, size(t), size(b) if i == 7 else 0 if i is None and t != b else size(t)) for i, t, _ in rows)

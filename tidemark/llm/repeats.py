@@ -3,10 +3,12 @@
 Every start of a `length`-byte window is dealt to a place by content alone: by the smallest hash of the k-byte strings in
 the window and by how far it lies from the start, so equal windows meet wherever they stand. Neighbouring starts of one
 place form a segment. Segments whose common core was met once in the corpus hold no repeated window and go; equal ones are
-counted before they are shuffled. Shards of what is left are indexed: suffixes are sorted, the transform is compressed to runs,
-common prefixes are measured at the sampled ends of runs only, and each text position gets its matching statistic against
-all others by streaming over the samples (between samples it falls by one per byte). Starts with a statistic of `length` or more are
-repeated; their windows are joined to spans of the documents.
+counted before they are shuffled. All others are indexed in shards that hold all segments of a core: the transform of a
+shard's segments is compressed to runs, with samples at the runs' ends of what the suffixes before them share with their
+neighbours. Matching statistics are streamed from each segment's end to its start by steps through the runs alone: inside a run
+the match grows by the byte, at a run's end the sample takes over. Starts with a statistic of `length` or more are
+repeated; their windows are joined to spans of the documents. Cores with more segments than a shard holds are cut
+into single windows first, so that no core makes a shard of its own size.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ GRAM, CLASS = 40, 81
 #: Places of cores met more often than this are split into segments of fewer starts, with a longer common core.
 HOT, HOT_CLASS = 64, 8
 #: Bytes of segments in an index, and of texts that are hashed at once.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 
 _STEPS = np.random.default_rng(9).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -96,14 +98,14 @@ def segments(data: bytes, ends: np.ndarray, class_size: int = CLASS, length: int
     return doc[first], first, last, _core_keys(words, where - class_size * kind, length - class_size + 1, kind)
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of bytes, by doubling: the first sort is on 8 bytes, each later one on twice as many as before."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, rank of each suffix) of bytes, by doubling: the first sort is on 8 bytes, each later one on twice as many as before."""
     n = len(text)
     first = np.zeros(n, np.uint64)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     for j in range(8):
         first = (first << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     sorted_ = first[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1])) + 1
@@ -111,15 +113,16 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     while n and rank.max() < n and depth < n:
         code = rank << 32
         code[: n - depth] |= rank[depth:]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         sorted_ = code[order]
         rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1])) + 1
         depth *= 2
-    order = np.empty(n, np.int64)
     if n and rank.max() < n:  # suffixes that differ in nothing but their end
-        return np.lexsort((-np.arange(n), rank))
+        order = np.lexsort((-np.arange(n), rank))
+        rank[order] = np.arange(n) + 1
+    order = np.empty(n, np.int64)
     order[rank - 1] = np.arange(n)
-    return order
+    return order, rank - 1
 
 
 def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -140,46 +143,73 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 class RunLengthIndex:
-    """A run-compressed transform of a text with the text positions of its run ends."""
+    """A run-compressed transform of a text, with samples at the ends of runs; statistics are streamed through the runs.
+
+    heads, letters: first row and letter of each run. jump: what a step to the letter before adds to a row of the run.
+    above, below: what the suffix that such a step from the run's first (last) row leads to shares with the one above (below).
+    """
 
-    def __init__(self, text: bytes):
-        self.text = np.frombuffer(text, np.uint8)
-        order = suffix_order(self.text)
-        last = self.text[order - 1].astype(np.int16) if len(order) else np.zeros(0, np.int16)
+    def __init__(self, text: bytes, ends: np.ndarray):
+        data = np.frombuffer(text, np.uint8)
+        n = self.n = len(data)
+        order, rank = suffix_order(data)
+        last = data[order - 1].astype(np.int16)
         last[order == 0] = 256  # nothing stands before the text: a run by itself
-        self.heads = np.flatnonzero(np.append(True, last[1:] != last[:-1])[: len(order)])
+        self.heads = np.flatnonzero(np.append(True, last[1:] != last[:-1])[:n])
         self.letters = last[self.heads]
-        tails = np.append(self.heads[1:], len(order))[: len(self.heads)] - 1
+        self.tails = np.append(self.heads[1:], n)[: len(self.heads)] - 1
+        size = self.tails - self.heads + 1
+        begin = np.concatenate([[0], np.cumsum(np.bincount(data, minlength=257))])[:257]
+        if n:
+            begin[data[-1]] += 1  # the suffix of the last letter alone comes first among its letter's, and no row leads to it
+        by_letter = np.argsort(self.letters, kind="stable")
+        before = np.cumsum(size[by_letter]) - size[by_letter]
+        first = np.searchsorted(self.letters[by_letter], self.letters[by_letter])
+        reached = np.empty(len(self.heads), np.int64)
+        reached[by_letter] = begin[self.letters[by_letter]] + before - before[first]
+        self.jump = reached - self.heads
         words = _words(text)
-        # what the suffixes at a run's two ends share with the suffixes beyond them
-        self.head_at, self.tail_at = order[self.heads], order[tails]
-        self.head_common, self.tail_common = np.zeros(len(tails), np.int64), np.zeros(len(tails), np.int64)
-        self.head_common[1:] = common_prefix(words, order[self.heads[1:]], order[self.heads[1:] - 1])
-        self.tail_common[:-1] = common_prefix(words, order[tails[:-1]], order[tails[:-1] + 1])
+        self.above, self.below = (self._shared(words, order, rows + self.jump, side) for rows, side in ((self.heads, -1), (self.tails, 1)))
+        self.ends, self.rows = ends, rank[ends]
+        self.at_ends = [self._shared(words, order, self.rows, side) for side in (-1, 1)]
+
+    def _shared(self, words: np.ndarray, order: np.ndarray, rows: np.ndarray, side: int) -> np.ndarray:
+        out, other = np.zeros(len(rows), np.int64), rows + side
+        ok = (rows < self.n) & (other >= 0) & (other < self.n)
+        out[ok] = common_prefix(words, order[rows[ok]], order[other[ok]])
+        return out
 
     def statistics(self) -> np.ndarray:
-        """For each position the longest prefix of its suffix that starts elsewhere as well."""
-        n = len(self.text)
-        best = np.zeros(n, np.int64)
-        x = np.arange(n)
-        for at, common in ((self.head_at, self.head_common), (self.tail_at, self.tail_common)):
-            value = np.full(n, -1, np.int64)
-            value[at] = common
-            sampled = np.maximum.accumulate(np.where(value >= 0, x, 0))
-            best = np.maximum(best, value[sampled] - (x - sampled))
-        return best
+        """For each position the longest prefix of its suffix that starts elsewhere as well; 0 after the last of the ends.
+
+        Streams go from each end to the one before it, side by side, a letter a step.
+        """
+        out = np.zeros(self.n, np.int64)
+        lengths = np.diff(np.concatenate([[-1], self.ends])) - 1
+        lane = np.argsort(-lengths, kind="stable")
+        at, row, lengths = self.ends[lane], self.rows[lane], lengths[lane]
+        above, below = (x[lane] for x in self.at_ends)
+        out[at] = np.maximum(above, below)
+        for step in range(1, int(lengths[0]) + 1 if len(lane) else 0):
+            live = int(np.searchsorted(-lengths, -step, "right"))
+            row, above, below = row[:live], above[:live], below[:live]
+            run = np.searchsorted(self.heads, row, "right") - 1
+            above = np.where(row == self.heads[run], self.above[run], above + 1)
+            below = np.where(row == self.tails[run], self.below[run], below + 1)
+            row = row + self.jump[run]
+            out[at[:live] - step] = np.maximum(above, below)
+        return out
 
 
 def repeated_spans(parts: list[bytes], counts: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(part, from, to) of the bytes of distinct parts that are covered by windows met more than once, a part with a count over 1 wholly."""
-    text = b"\xff".join(parts) + b"\xff"  # no UTF-8 text holds this byte
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    """(part, from, to) of the bytes of distinct parts that are covered by windows met more than once; a part with a count over 1 is in the index twice."""
+    held = parts + [p for p, n in zip(parts, counts, strict=True) if n > 1]
+    text = b"\xff".join(held) + b"\xff"  # no UTF-8 text holds this byte
+    ends = np.cumsum([len(p) + 1 for p in held]) - 1
     firsts = np.concatenate([[0], ends[:-1] + 1])
-    found = RunLengthIndex(text).statistics()
+    found = RunLengthIndex(text, ends).statistics()
     part = np.searchsorted(ends, np.arange(len(text)), side="left")
-    part = np.minimum(part, len(parts) - 1)
-    found = np.minimum(found, ends[part] - np.arange(len(text)))
-    again = (found >= length) | ((np.array(counts)[part] > 1) & (np.arange(len(text)) + length <= ends[part]))
+    again = (np.minimum(found, ends[part] - np.arange(len(text))) >= length) & (part < len(parts))
     new = again.copy()
     new[1:] &= ~again[:-1] | (part[1:] != part[:-1])
     old = again.copy()
@@ -271,11 +301,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _indexed(rows: pa.Table) -> pa.Table:
     parts, counts = rows["part"].to_pylist(), rows["n"].to_pylist()
-    spans = [x for x in repeated_spans(parts, counts) if counts[x[0]] == 1]
+    spans = repeated_spans(parts, counts)
     h1, h2 = rows["h1"].to_pylist(), rows["h2"].to_pylist()
     return pa.table({"h1": pa.array([h1[i] for i, _, _ in spans], pa.int64()), "h2": pa.array([h2[i] for i, _, _ in spans], pa.int64()), "lo": pa.array([a for _, a, _ in spans], pa.int64()), "hi": pa.array([b for _, _, b in spans], pa.int64())})
 
 
+def _spans(parts: DataFrame) -> DataFrame:
+    """Spans (h1, h2, lo, hi) of parts(key, h1, h2, part, n) by indexes over shards that hold whole keys."""
+    shards = max(1, -(-(parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // SHARD_BYTES))
+    return parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_indexed, "h1 long, h2 long, lo long, hi long")
+
+
+def _spans_of_wide(parts: DataFrame) -> DataFrame:
+    """The same for parts of cores that are larger than a shard, window by window: equal windows are counted before they are indexed."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("part") - LENGTH)).alias("lo")
+    windows = parts.select("h1", "h2", "n", "part", at).withColumn("window", F.expr(f"substring(part, lo + 1, {LENGTH})")).drop("part")
+    windows = save(windows.withColumn("w1", F.xxhash64("window")).withColumn("w2", F.xxhash64(F.lit(9), "window")), "repeat-windows")
+    kinds = save(windows.groupBy("window", "w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1"), "repeat-kinds")
+    found = save(_spans(kinds.select(F.col("w1").alias("key"), F.col("w1").alias("h1"), F.col("w2").alias("h2"), F.col("window").alias("part"), "n")), "repeat-wide")
+    met = windows.select("h1", "h2", "lo", "w1", "w2").join(bounded(found.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"))), ["w1", "w2"])
+    return met.select("h1", "h2", F.col("lo").cast("long").alias("lo"), (F.col("lo") + LENGTH).cast("long").alias("hi"))
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """sha, n_removed, n_spans, kept_sha256 and the spans of texts with repeated windows."""
     for batch in batches:
@@ -318,13 +365,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = held.join(listed, "rid").select("sha", "text", "again", "hot").mapInArrow(_cut, "sha binary, at long, key long, h1 long, h2 long, part binary")
     cut = save(cut, "repeat-cut")
     parts = save(cut.groupBy("key", "h1", "h2", "part").agg(F.count(F.lit(1)).alias("n")), "repeat-parts")
-    # equal segments hold nothing but repeated windows; a segment's own windows differ from each other, as they lie at different distances from its place
-    whole = parts.filter("n > 1").select("h1", "h2", F.lit(0).cast("long").alias("lo"), F.octet_length("part").cast("long").alias("hi"))
-    mixed = save(parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key"), "repeat-mixed")
-    parts = save(parts.join(bounded(mixed, BROADCAST_KEYS), "key", "left_semi"), "repeat-indexed")
-    shards = max(1, -(-(parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // SHARD_BYTES))
-    spans = parts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_indexed, "h1 long, h2 long, lo long, hi long")
-    spans = save(whole.unionByName(spans), "repeat-spans")
+    # a segment's own windows differ from each other, as they lie at different distances from its place
+    cores = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("met"), F.sum(F.octet_length("part")).alias("bytes"))
+    live = save(cores.filter("met > 1").select("key", (F.col("bytes") > SHARD_BYTES).alias("wide")), "repeat-cores")
+    parts = save(parts.join(bounded(live, BROADCAST_KEYS), "key"), "repeat-indexed")
+    spans = save(_spans(parts.filter("not wide").select("key", "h1", "h2", "part", "n")).unionByName(_spans_of_wide(parts.filter("wide"))), "repeat-spans")
     marks = cut.select("sha", "at", "h1", "h2").join(bounded(spans), ["h1", "h2"]).select("sha", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
     marks = marks.groupBy("sha").agg(F.collect_set("span").alias("marks"))
     left = held.dropDuplicates(["sha"]).join(marks, "sha").select("sha", "text", "marks").mapInArrow(_kept, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
