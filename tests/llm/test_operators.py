@@ -340,8 +340,15 @@ def test_links_of_dense_prints(spark, large):
 
 def test_thresholds_obey_the_pigeonhole():
     even = [[0.5] * 22, [0.5] * 21, [0.5] * 21]
-    assert sum(simhash.deal_thresholds(10_000_000, [2.0**-22, 2.0**-21, 2.0**-21], even)) == 2
-    assert simhash.deal_thresholds(100, [1.0, 1e-6, 1e-6], even)[0] == min(simhash.deal_thresholds(100, [1.0, 1e-6, 1e-6], even))
+    assert sum(simhash.deal_thresholds(10_000_000, [2.0**-22, 2.0**-21, 2.0**-21], even)[1]) == 2
+    dealt = simhash.deal_thresholds(100, [1.0, 1e-6, 1e-6], even)[1]
+    assert dealt[0] == min(dealt) and sum(dealt) == 2
+
+
+def test_partitions_by_number_of_prints():
+    half = lambda n: simhash.choose_groups(n, n * (np.full((64, 64), 0.25) + np.eye(64) * 0.25))
+    assert len(half(10_000)) > len(half(10**8)) >= len(half(10**10)) == 2
+    assert sorted(b for g in half(10**6) for b in g) == list(range(64))
 
 
 def test_components(spark):

@@ -1,7 +1,8 @@
 """SimHash near-dedup with a generalised pigeonhole search.
 
-Bits are grouped by correlation into PARTS partitions, measured over all distinct fingerprints. If thresholds of the
-partitions sum to `distance - PARTS + 1`, two fingerprints within the distance are within some partition's threshold there;
+Bits are grouped by correlation into partitions, measured over all distinct fingerprints; how many partitions is chosen by the
+estimated cost, which falls to fewer and wider ones as fingerprints grow in number. If thresholds of the
+partitions sum to `distance - partitions + 1`, two fingerprints within the distance are within some partition's threshold there;
 dynamic programming deals the thresholds out so that estimated signatures and candidates cost least. Each fingerprint is
 indexed by its partitions' values and probes the values within the thresholds; candidates are verified on all bits.
 
@@ -27,7 +28,9 @@ from .shared import bounded, save, small_batches, text_or_empty
 WORDS = 4
 SEED = 42
 DISTANCE = 4
-PARTS = 3
+#: Numbers of partitions that are weighed against each other, and the most bits flipped in a probe's partition.
+PARTS = (2, 3, 4, 5)
+FLIPS = 2
 #: Index members above which a bucket is worked on by pivots.
 LARGE_BUCKET = 64
 #: What a candidate costs against a signature row.
@@ -91,7 +94,7 @@ def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
     return int(cells[4096]), cells[:4096].reshape(64, 64)
 
 
-def group_bits(n: int, together: np.ndarray, parts: int = PARTS) -> list[list[int]]:
+def group_bits(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in `parts` groups of near-equal size: each begins with the bit most correlated to others and takes its closest ones."""
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
@@ -110,8 +113,8 @@ def group_bits(n: int, together: np.ndarray, parts: int = PARTS) -> list[list[in
     return out
 
 
-def deal_thresholds(n: int, same: list[float], differ: list[list[float]], distance: int = DISTANCE, candidate_cost: float = CANDIDATE_COST) -> list[int]:
-    """A threshold for each partition, -1 for none, by dynamic programming on the estimated cost.
+def deal_thresholds(n: int, same: list[float], differ: list[list[float]], distance: int = DISTANCE, candidate_cost: float = CANDIDATE_COST) -> tuple[float, list[int]]:
+    """(cost, a threshold for each partition, -1 for none) by dynamic programming on the estimated cost.
 
     same: the share of pairs alike in the partition; differ: for each of its bits the share of pairs that differ in it.
     Pairs within t bits are estimated from `same` times the odds of the bits that differ, as if bits were independent.
@@ -134,12 +137,23 @@ def deal_thresholds(n: int, same: list[float], differ: list[list[float]], distan
     for i in range(parts):
         following: dict[int, tuple[float, list[int]]] = {}
         for total, (spent, dealt) in best.items():
-            for t in range(-1, distance + 1):
+            for t in range(-1, max(FLIPS, -(-(distance - parts + 1) // parts)) + 1):
                 x = (spent + cost(i, t), [*dealt, t])
                 if total + t not in following or x < following[total + t]:
                     following[total + t] = x
         best = following
-    return best[distance - parts + 1][1]
+    return best[distance - parts + 1]
+
+
+def choose_groups(n: int, together: np.ndarray, distance: int = DISTANCE) -> list[list[int]]:
+    """The groups of bits, of those for each number of partitions, that cost least if bits were independent."""
+    differ = 2 * np.diag(together) / max(n, 1) * (1 - np.diag(together) / max(n, 1))
+
+    def cost(groups: list[list[int]]) -> float:
+        same = [float(np.prod(1 - differ[g])) for g in groups]
+        return deal_thresholds(n, same, [differ[g].tolist() for g in groups], distance)[0]
+
+    return min((group_bits(n, together, parts) for parts in PARTS if parts <= distance + 1), key=cost)
 
 
 def signatures(nodes: DataFrame, groups: list[list[int]], thresholds: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -176,19 +190,19 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def link_prints(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def link_prints(nodes: DataFrame, distance: int = DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """(node, root) of the saved table nodes(fp) of distinct fingerprints: components of the pairs within the distance. Nodes without such a pair are left out."""
     n, together = bit_counts(nodes)
     if n < 2:
         return nodes.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
-    groups = group_bits(n, together, parts)
+    groups = choose_groups(n, together, distance)
     p = np.diag(together) / max(n, 1)
     masks = [sum(1 << b for b in g) for g in groups]
     values = nodes.select(F.inline(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for i, m in enumerate(masks)])))
     sizes = save(values.groupBy("part", "key").count(), "simhash-buckets")
     pairs = {r["part"]: r["pairs"] for r in sizes.groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1)).alias("pairs")).collect()}
-    same = [max(pairs.get(i, 0.0) / max(n * (n - 1.0), 1.0), 2.0 ** -len(groups[i])) for i in range(parts)]
-    thresholds = deal_thresholds(n, same, [[float(2 * p[b] * (1 - p[b])) for b in g] for g in groups], distance)
+    same = [max(pairs.get(i, 0.0) / max(n * (n - 1.0), 1.0), 2.0 ** -len(groups[i])) for i in range(len(groups))]
+    _, thresholds = deal_thresholds(n, same, [[float(2 * p[b] * (1 - p[b])) for b in g] for g in groups], distance)
     index, probes = signatures(nodes, groups, thresholds)
     large = save(sizes.filter(F.col("count") > large_bucket).select("part", "key"), "simhash-large")
     if large.isEmpty():
