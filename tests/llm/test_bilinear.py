@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import bilinear
+from tidemark.llm import bilinear, shared
 
 from .test_operators import some_rows, table
 
@@ -19,7 +19,6 @@ def held(i):
 @pytest.mark.parametrize("known", [10, 300_000])
 def test_scores(spark, monkeypatch, known):
     monkeypatch.setattr(bilinear, "KNOWN_WORDS", known)
-    monkeypatch.setattr(bilinear, "FREQUENT", 447)
     rng = np.random.default_rng(1)
     rows = some_rows() + [(1000 + i, " ".join(["left right"] * int(rng.integers(1, 40))) if i % 2 else " ".join(rng.choice(list("uvwxyz"), 30)), "s") for i in range(600)]
     docs = table(spark, rows)
@@ -42,15 +41,62 @@ def test_scores(spark, monkeypatch, known):
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_scores_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "SYMBOLS", (64, 64))
+    monkeypatch.setattr(bilinear, "KNOWN_WORDS", 120)
+    rng = np.random.default_rng(4)
+    rows = some_rows() + [(None, "no id here", "s"), (None, None, "s"), (3, "an id again", "s"), (2000, " ".join(rng.choice([f"x{i}ing" for i in range(90)], 12_000)), "s")]
+    docs = table(spark, rows)
+    texts = shared.save(docs.filter(shared.id_bucket("doc_id", 5) != 1).select(shared.text_or_empty().alias("text")), "t")
+    counts = shared.save(bilinear.count_words(texts), "t")
+    vocab = bilinear.vocabulary(counts, texts.count())
+    model = bilinear.train(texts, vocab)
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 2)) for r in bilinear.score(docs.select("doc_id", shared.text_or_empty().alias("text")), counts, vocab, model).collect())
+    counted = {r["word"]: r["n"] for r in counts.collect()}
+    top = sorted(counted, key=lambda w: (-counted[w], w))[: int((vocab.symbol <= vocab.frequent).sum())]
+    assert len(top) > 11
+    symbol = {w: i + 1 for i, w in enumerate(top)}
+    of = lambda w: symbol.get(w) or 1 + vocab.frequent + vocab.ending(w)
+    total, kinds = Counter(), Counter()
+    for w in counted:
+        if w not in symbol:
+            total[of(w)] += counted[w]
+            kinds[of(w)] += 1
+    table_ = {}
+
+    def log_p(far, near):
+        if (far, near) not in table_:
+            h = model.context[far] * model.scale[0] + model.context[near] * model.scale[1]
+            logits = h @ model.target.T + model.bias
+            table_[far, near] = logits - np.log(np.exp(logits).sum())
+        return table_[far, near]
+
+    for i, t, _ in rows:
+        words, far, near, score = [w.decode() for w in (t or "").encode().lower().split()], 64, 64, 0.0
+        for w in [*words, None]:
+            s = 0 if w is None else of(w)
+            score += log_p(far, near)[s] / math.log(10)
+            if w is not None and w not in symbol:
+                score += math.log10((counted.get(w, 0) + 0.5) / (total[s] + 0.5 * (kinds[s] + 1)))
+            far, near = near, s
+        match = [k for k in got if k[:2] == (i, len(words) + 1) and abs(k[2] - score) < 0.011 + 1e-4 * abs(score)]
+        assert match, (i, score)
+    assert sum(got.values()) == len(rows)
+
+
+def test_symbols_grow_with_the_corpus():
+    sizes = [bilinear.symbols_for(n) for n in (0, 300_000, 20_000_000, 110_000_000, 10**10, 10**13)]
+    assert sizes == [512, 512, 1024, 2048, 4096, 4096]
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
-    noise = rng.random(bilinear.SYMBOLS)
+    noise = rng.random(512)
     model = bilinear.Parameters.first(noise / noise.sum())
     model.bias += rng.normal(size=model.bias.shape)
-    normal = model.normalisers()
     far, near = (model.context * s for s in model.scale)
-    for f, e in [(0, 5), (bilinear.START, bilinear.START), (511, 3)]:
-        assert abs(np.exp((far[f] + near[e]) @ model.target.T + model.bias - normal[f, e]).sum() - 1) < 1e-4
+    for f, e in [(0, 5), (512, 512), (511, 3)]:
+        assert abs(np.exp((far[f] + near[e]) @ model.target.T + model.bias - model.normalisers(f)[e]).sum() - 1) < 1e-4
 
 
 def test_empty(spark):

@@ -1,15 +1,17 @@
 """LM scoring with a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-Counts are taken over all training texts. The model's symbols are the text's end, the most frequent words, and classes of all other words by
-their last letters; a word of a class has its smoothed share of it, unknown words together one share more. Two words
+Counts are taken over all training texts. The model's symbols are the text's end, the most frequent words, and classes of all other words:
+one for each of the most frequent endings, one for the rest. There are more symbols where there are more training tokens. A word
+of a class has its smoothed share of it, unknown words together one share more. Two words
 of context add up, each scaled per coordinate, to a predicted vector; its products with the symbols' vectors and
-biases are the logits. Every task trains on all its texts against noise drawn from the exact symbol counts; the tasks' parameters are averaged by tokens.
+biases are the logits. In each round every task trains on all its texts against noise drawn from the exact symbol counts, starting from the
+round before; the tasks' parameters are averaged by tokens.
 Batched matrix products over all contexts give the normalisers, so a scored probability is normalised exactly.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,17 +19,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import id_bucket, save, small_batches, text_or_empty
 
-FREQUENT, CLASSES, WIDTH = 447, 64, 32
-SYMBOLS = 1 + FREQUENT + CLASSES
-START = SYMBOLS
-#: Words that every worker knows the count of; the others' counts are joined.
+WIDTH = 32
+#: Least and most symbols; an eighth of them are classes.
+SYMBOLS = (512, 4096)
+ENDING = 3
+#: Words that every worker knows the count of, at most; the others' counts are joined.
 KNOWN_WORDS = 200_000
-NOISE, BATCH, RATE = 32, 4096, 0.1
+NOISE, BATCH, RATE, ROUNDS = 32, 4096, 0.1, 2
 FOLDS, HELD_OUT = 5, 1
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
@@ -37,35 +40,44 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def ending(word: str) -> int:
-    """The class of a word outside the frequent ones, from its last three characters."""
-    return zlib.crc32(word[-3:].encode()) % CLASSES
+def symbols_for(tokens: int) -> int:
+    """Symbols of a model for so many training tokens: the power of two nearest to a fifth of their root, within SYMBOLS."""
+    return min(SYMBOLS[1], max(SYMBOLS[0], 1 << round(math.log2(max(math.sqrt(tokens) / 5, 1)))))
 
 
 @dataclass
 class Vocabulary:
-    """Counts of the training texts: tokens, distinct ones, texts; the known words with symbol, base and in-class log10; per class the log10 of its total."""
+    """Counts of the training texts: tokens, distinct ones, texts; the known words with symbol, base and in-class log10; classes by ending; per class the log10 of its total.
+
+    Symbols are the end, the frequent words, then the classes, the last of which has the endings that are not listed.
+    """
 
     tokens: int
     types: int
     ends: int
+    frequent: int
     words: dict[bytes, int]
     symbol: np.ndarray
     base: np.ndarray
     inner: np.ndarray
+    endings: dict[str, int]
     class_total: np.ndarray
     noise: np.ndarray
 
+    def ending(self, word: str) -> int:
+        """The class of a word outside the frequent ones."""
+        return self.endings.get(word[-ENDING:], len(self.class_total) - 1)
+
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Index of each word among the known ones; of another, -1 less its class."""
         found = list(map(self.words.get, words))
         if None in found:
-            found = [-1 - ending(w.decode()) if i is None else i for w, i in zip(words, found, strict=True)]
+            found = [-1 - self.ending(w.decode()) if i is None else i for w, i in zip(words, found, strict=True)]
         return np.array(found, np.int64)
 
     def symbols(self, index: np.ndarray) -> np.ndarray:
         """Symbols of looked-up words, then the end."""
-        out = np.where(index >= 0, self.symbol[np.maximum(index, 0)] if len(self.symbol) else 0, FREQUENT - index)
+        out = np.where(index >= 0, self.symbol[np.maximum(index, 0)] if len(self.symbol) else 0, self.frequent - index)
         return np.append(out, 0)
 
 
@@ -81,7 +93,8 @@ class Parameters:
     @staticmethod
     def first(noise: np.ndarray, seed: int = 11) -> Parameters:
         rng = np.random.default_rng(seed)
-        return Parameters(rng.normal(0, 0.1, (SYMBOLS + 1, WIDTH)), rng.normal(0, 0.1, (SYMBOLS, WIDTH)), np.ones((2, WIDTH)), np.log(noise))
+        n = len(noise)
+        return Parameters(rng.normal(0, 0.1, (n + 1, WIDTH)), rng.normal(0, 0.1, (n, WIDTH)), np.ones((2, WIDTH)), np.log(noise))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.context, self.target, self.scale, self.bias]
@@ -93,20 +106,32 @@ class Parameters:
         cut = np.cumsum([x.size for x in self.arrays()])[:-1]
         return Parameters(*(x.reshape(y.shape) for x, y in zip(np.split(flat, cut), self.arrays(), strict=True)))
 
-    def normalisers(self) -> np.ndarray:
-        """Natural log of the sum over all symbols, by the symbol two back and the one before."""
+    def normalisers(self, two_back: int) -> np.ndarray:
+        """Natural log of the sum over all symbols, by the symbol before, for one symbol two back."""
         far, near = (self.context * s for s in self.scale)
-        out = np.empty((SYMBOLS + 1, SYMBOLS + 1), np.float32)
-        for i in range(SYMBOLS + 1):
-            logits = (near + far[i]) @ self.target.T + self.bias
-            top = logits.max(1)
-            out[i] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        return out
+        logits = (near + far[two_back]).astype(np.float32) @ self.target.T.astype(np.float32) + self.bias.astype(np.float32)
+        top = logits.max(1)
+        return top + np.log(np.exp(logits - top[:, None]).sum(1))
+
+
+def all_normalisers(spark: SparkSession, model: Parameters) -> np.ndarray:
+    """Normalisers by the symbol two back and the one before, one row of the matrix at a time in tasks: at most SYMBOLS[1] squared numbers."""
+    sent, n = spark.sparkContext.broadcast(model), len(model.context)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([sent.value.normalisers(i).astype(np.float32).tobytes() for i in rows], pa.binary())], names=["id", "values"])
+
+    out = np.empty((n, n), np.float32)
+    for r in spark.range(0, n, 1, max(1, n // 64)).mapInArrow(work, "id long, values binary").toLocalIterator():
+        out[r["id"]] = np.frombuffer(r["values"], np.float32)
+    return out
 
 
-def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol two back, symbol before) of each symbol of a text."""
-    return np.concatenate([[START, START], symbols[:-2]])[: len(symbols)], np.concatenate([[START], symbols[:-1]])
+def contexts(symbols: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol two back, symbol before) of each symbol of a text; before the text stands the start."""
+    return np.concatenate([[start, start], symbols[:-2]])[: len(symbols)], np.concatenate([[start], symbols[:-1]])
 
 
 def _gather(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -122,7 +147,8 @@ def _gather(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation by Adagrad, a batch at a time."""
 
-    def __init__(self, start: Parameters, noise: np.ndarray, seed: int):
+    def __init__(self, start: Parameters, noise: np.ndarray, seed: int, rate: float = RATE):
+        self.rate = rate
         self.p = Parameters(*(x.astype(np.float32) for x in start.arrays()))
         self.past = [np.full(x.shape, 1e-3, np.float32) for x in self.p.arrays()]
         self.rng, self.noise = np.random.default_rng(seed), noise
@@ -130,24 +156,24 @@ class Trainer:
         self.edges = np.cumsum(noise)
 
     def step(self, far: np.ndarray, near: np.ndarray, wanted: np.ndarray) -> None:
-        p = self.p
-        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), SYMBOLS - 1)
+        p, n = self.p, len(self.noise)
+        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), n - 1)
         a, b = p.context[far], p.context[near]
         h = a * p.scale[0] + b * p.scale[1]
         target, other = p.target[wanted], p.target[drawn]
         pull = 1 / (1 + np.exp((h * target).sum(1) + p.bias[wanted] - self.log_noise[wanted]))
         push = -1 / (1 + np.exp(-(h @ other.T + p.bias[drawn] - self.log_noise[drawn])))
         dh = pull[:, None] * target + push @ other
-        d_target = _gather(wanted, pull[:, None] * h, SYMBOLS)
-        d_bias = np.bincount(wanted, pull, SYMBOLS)
+        d_target = _gather(wanted, pull[:, None] * h, n)
+        d_bias = np.bincount(wanted, pull, n)
         np.add.at(d_target, drawn, push.T @ h)
         np.add.at(d_bias, drawn, push.sum(0))
-        d_context = _gather(far, dh * p.scale[0], SYMBOLS + 1) + _gather(near, dh * p.scale[1], SYMBOLS + 1)
+        d_context = _gather(far, dh * p.scale[0], n + 1) + _gather(near, dh * p.scale[1], n + 1)
         d_scale = np.stack([(dh * a).sum(0), (dh * b).sum(0)])
         for x, past, grad in zip(p.arrays(), self.past, (d_context, d_target, d_scale, d_bias), strict=True):
             grad = (grad / len(wanted)).astype(np.float32)
             past += grad * grad
-            x += RATE * grad / np.sqrt(past)
+            x += self.rate * grad / np.sqrt(past)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -169,51 +195,59 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """What scoring needs of the saved counts: at most KNOWN_WORDS words and sums."""
+    """What scoring needs of the saved counts: at most KNOWN_WORDS words, the symbols' endings, and sums."""
     tokens, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, types = (tokens or 0) + ends, types + (ends > 0)
-    least, held = 1, 0  # known are the words that come at least so often
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+    least, held = 1, 0  # known are the words that come at least so often, a power of two
+    for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
         if held + r["count"] > KNOWN_WORDS:
-            least = r["n"] + 1
+            least = 2 << r["power"]
             break
         held += r["count"]
     top = counts.filter(F.col("n") >= least).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True], kind="stable").reset_index(drop=True)
     n = top["n"].to_numpy(np.int64)
-    frequent = set(top["word"][:FREQUENT])
-    classes = np.array([ending(w) for w in top["word"]], np.int64)
-    held, sizes = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(_class_of().alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
-        held[r["c"]], sizes[r["c"]] = r["n"], r["types"]
-    k = len(frequent)
-    held -= np.bincount(classes[:k], n[:k], CLASSES)
-    sizes -= np.bincount(classes[:k], minlength=CLASSES)
+    size = symbols_for(tokens)
+    classes = size // 8
+    frequent = size - 1 - classes
+    by_ending = save(counts.groupBy(F.expr(f"right(word, {ENDING})").alias("ending")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")), "lm-endings")
+    listed = by_ending.orderBy(F.desc("n"), "ending").limit(classes - 1).collect()
+    all_n, all_types = (x or 0 for x in by_ending.agg(F.sum("n"), F.sum("types")).first())
+    endings = {r["ending"]: i for i, r in enumerate(listed)}
+    held, sizes = np.zeros(classes), np.zeros(classes)
+    held[: len(listed)], sizes[: len(listed)] = [r["n"] for r in listed], [r["types"] for r in listed]
+    held[-1], sizes[-1] = all_n - held[:-1].sum(), all_types - sizes[:-1].sum()
+    own = np.array([endings.get(w[-ENDING:], classes - 1) for w in top["word"]], np.int64)
+    k = min(frequent, len(n))
+    held -= np.bincount(own[:k], n[:k], classes)
+    sizes -= np.bincount(own[:k], minlength=classes)
     class_total = np.log10(held + 0.5 * (sizes + 1))
-    symbol = np.where(np.arange(len(n)) < k, 1 + np.arange(len(n)), 1 + FREQUENT + classes) if len(n) else classes
+    symbol = np.where(np.arange(len(n)) < k, 1 + np.arange(len(n)), 1 + frequent + own)
     base = np.log10((n + 0.5) / (tokens + 0.5 * (types + 1)))
-    inner = np.where(np.arange(len(n)) < k, 0.0, np.log10(n + 0.5) - class_total[classes]) if len(n) else base
-    noise = np.concatenate([[ends], np.pad(n[:k], (0, FREQUENT - k)), held]) + 0.5
-    return Vocabulary(tokens, types, ends, {w.encode(): i for i, w in enumerate(top["word"])}, symbol, base, inner, class_total, noise / noise.sum())
+    inner = np.where(np.arange(len(n)) < k, 0.0, np.log10(n + 0.5) - class_total[own])
+    noise = np.concatenate([[ends], np.pad(n[:k], (0, frequent - k)), held]) + 0.5
+    return Vocabulary(tokens, types, ends, frequent, {w.encode(): i for i, w in enumerate(top["word"])}, symbol, base, inner, endings, class_total, noise / noise.sum())
 
 
-def _class_of():
-    return (F.crc32(F.expr("right(word, 3)").cast("binary")) % CLASSES).cast("int")
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Parameters:
+    """Parameters after so many rounds over all training texts, each averaged over the tasks; what a task reads, and so the result, follows the files' splits."""
+    model = Parameters.first(vocab.noise)
+    for i in range(rounds):
+        model = train_round(texts, vocab, model, i)
+    return model
 
 
-def train(texts: DataFrame, vocab: Vocabulary) -> Parameters:
-    """Averaged parameters of the tasks over all training texts."""
-    start = Parameters.first(vocab.noise)
+def train_round(texts: DataFrame, vocab: Vocabulary, start: Parameters, number: int) -> Parameters:
     sent = texts.sparkSession.sparkContext.broadcast((vocab, start))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = sent.value
-        trainer, total = Trainer(start, vocab.noise, TaskContext.get().partitionId()), 0
+        trainer, total = Trainer(start, vocab.noise, TaskContext.get().partitionId() + (number << 32), RATE / (1 + number)), 0
         for batch in batches:
             held = [vocab.symbols(vocab.lookup(words_of(x))) for x in batch.column(0).to_pylist()]
             if not held:
                 continue
             wanted = np.concatenate(held)
-            far, near = (np.concatenate(x) for x in zip(*map(contexts, held), strict=True))
+            far, near = (np.concatenate(x) for x in zip(*(contexts(x, len(vocab.noise)) for x in held), strict=True))
             order = trainer.rng.permutation(len(wanted))
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
@@ -238,7 +272,7 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Parameters:
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Parameters) -> DataFrame:
     """Scores of docs(doc_id, text) under a model; the counts of words that workers do not know are joined."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, model, model.normalisers()))
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, model, all_normalisers(docs.sparkSession, model)))
     end_base = np.log10((vocab.ends + 0.5) / (vocab.tokens + 0.5 * (vocab.types + 1)))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.float64())
     names = ["uid", "doc_id", "n_tokens", "n_known", "base", "score", "word", "times", "class_total"]
@@ -253,7 +287,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Paramete
                 words = words_of(text)
                 index = vocab.lookup(words)
                 symbols = vocab.symbols(index)
-                far, near = contexts(symbols)
+                far, near = contexts(symbols, len(vocab.noise))
                 total = 0.0
                 for i in range(0, len(symbols), 1 << 16):
                     f, e, t = far[i : i + (1 << 16)], near[i : i + (1 << 16)], symbols[i : i + (1 << 16)]
@@ -263,7 +297,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Paramete
                 if len(known) < len(index):
                     for w, times in Counter(w for w, i in zip(words, index.tolist(), strict=True) if i < 0).items():
                         name = w.decode()
-                        rows.append((uid, None, None, None, None, None, name, times, float(vocab.class_total[ending(name)])))
+                        rows.append((uid, None, None, None, None, None, name, times, float(vocab.class_total[vocab.ending(name)])))
                 uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema(list(zip(names, kinds, strict=True))))
 
@@ -291,7 +325,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Learns from rows outside the held-out fold (by crc32 of the id; a null id counts as the empty text). A-Z lower-cased, words stand between ASCII
     white space, each text has one end more; a null text is empty, one end. Repeated rows count and score each.
-    Without training rows, scores are those of the first parameters; an empty table gives an empty result.
+    Without training rows, scores are those of the first parameters; an empty table gives an empty result. Scores depend on how the
+    files are split over tasks; counts and base scores do not.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
