@@ -99,29 +99,39 @@ def segments(data: bytes, ends: np.ndarray, class_size: int = CLASS, length: int
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank of each suffix) of bytes, by doubling: the first sort is on 8 bytes, each later one on twice as many as before."""
+    """(suffix array, rank of each suffix) of bytes, by doubling: the first sort is on 5 bytes, each later one on twice as many as before.
+
+    Two ranks and the place are sorted as one number while they fit into 63 bits, which is several times as fast as sorting places by ranks.
+    """
     n = len(text)
-    first = np.zeros(n, np.uint64)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for j in range(8):
-        first = (first << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(first)
-    sorted_ = first[order]
-    rank = np.empty(n, np.int64)
+    bits = max(n, 1).bit_length()
+    place = np.arange(n, dtype=np.int64)
+
+    def ordered(code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width + bits > 63:
+            order = np.argsort(code)
+            return order, code[order]
+        packed = np.sort((code << bits) | place)
+        return packed & ((1 << bits) - 1), packed >> bits
+
+    code = np.zeros(n, np.int64)
+    padded = np.concatenate([text, np.zeros(5, np.uint8)]).astype(np.int64)
+    for j in range(5):
+        code = (code << 8) | padded[j : j + n]
+    order, sorted_ = ordered(code, 40)
+    rank, depth = np.empty(n, np.int64), 5
     rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1])) + 1
-    depth = 8
     while n and rank.max() < n and depth < n:
-        code = rank << 32
+        code = rank << bits
         code[: n - depth] |= rank[depth:]
-        order = np.argsort(code)
-        sorted_ = code[order]
+        order, sorted_ = ordered(code, 2 * bits)
         rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1])) + 1
         depth *= 2
     if n and rank.max() < n:  # suffixes that differ in nothing but their end
-        order = np.lexsort((-np.arange(n), rank))
-        rank[order] = np.arange(n) + 1
+        order = np.lexsort((-place, rank))
+        rank[order] = place + 1
     order = np.empty(n, np.int64)
-    order[rank - 1] = np.arange(n)
+    order[rank - 1] = place
     return order, rank - 1
 
 
