@@ -41,8 +41,8 @@ def words_of(text: str) -> list[bytes]:
 
 
 def symbols_for(tokens: int) -> int:
-    """Symbols of a model for so many training tokens: the power of two nearest to a fifth of their root, within SYMBOLS."""
-    return min(SYMBOLS[1], max(SYMBOLS[0], 1 << round(math.log2(max(math.sqrt(tokens) / 5, 1)))))
+    """Symbols of a model for so many training tokens: the power of two nearest to an eighth of their root, within SYMBOLS."""
+    return min(SYMBOLS[1], max(SYMBOLS[0], 1 << round(math.log2(max(math.sqrt(tokens) / 8, 1)))))
 
 
 @dataclass
@@ -124,7 +124,7 @@ def all_normalisers(spark: SparkSession, model: Parameters) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([sent.value.normalisers(i).astype(np.float32).tobytes() for i in rows], pa.binary())], names=["id", "values"])
 
     out = np.empty((n, n), np.float32)
-    for r in spark.range(0, n, 1, max(1, n // 64)).mapInArrow(work, "id long, values binary").toLocalIterator():
+    for r in spark.range(0, n, 1, max(1, n // 64)).mapInArrow(work, "id long, values binary").collect():
         out[r["id"]] = np.frombuffer(r["values"], np.float32)
     return out
 
@@ -228,26 +228,39 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     return Vocabulary(tokens, types, ends, frequent, {w.encode(): i for i, w in enumerate(top["word"])}, symbol, base, inner, endings, class_total, noise / noise.sum())
 
 
+def symbol_table(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The training texts as symbols, saved: looked up once for all rounds."""
+    sent = texts.sparkSession.sparkContext.broadcast(vocab)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sent.value.symbols(sent.value.lookup(words_of(x))).astype(np.uint16).tobytes() for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["symbols"])
+
+    return save(texts.mapInArrow(work, "symbols binary"), "lm-symbols")
+
+
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Parameters:
     """Parameters after so many rounds over all training texts, each averaged over the tasks; what a task reads, and so the result, follows the files' splits."""
-    model = Parameters.first(vocab.noise)
+    model, symbols = Parameters.first(vocab.noise), symbol_table(texts, vocab)
     for i in range(rounds):
-        model = train_round(texts, vocab, model, i)
+        model = train_round(symbols, vocab.noise, model, i)
     return model
 
 
-def train_round(texts: DataFrame, vocab: Vocabulary, start: Parameters, number: int) -> Parameters:
-    sent = texts.sparkSession.sparkContext.broadcast((vocab, start))
+def train_round(symbols: DataFrame, noise: np.ndarray, start: Parameters, number: int) -> Parameters:
+    """Averaged parameters of the tasks over all training texts."""
+    sent = symbols.sparkSession.sparkContext.broadcast((noise, start))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, start = sent.value
-        trainer, total = Trainer(start, vocab.noise, TaskContext.get().partitionId() + (number << 32), RATE / (1 + number)), 0
+        noise, start = sent.value
+        trainer, total = Trainer(start, noise, TaskContext.get().partitionId() + (number << 32), RATE / (1 + number)), 0
         for batch in batches:
-            held = [vocab.symbols(vocab.lookup(words_of(x))) for x in batch.column(0).to_pylist()]
+            held = [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column(0).to_pylist()]
             if not held:
                 continue
             wanted = np.concatenate(held)
-            far, near = (np.concatenate(x) for x in zip(*(contexts(x, len(vocab.noise)) for x in held), strict=True))
+            far, near = (np.concatenate(x) for x in zip(*(contexts(x, len(noise)) for x in held), strict=True))
             order = trainer.rng.permutation(len(wanted))
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
@@ -265,7 +278,7 @@ def train_round(texts: DataFrame, vocab: Vocabulary, start: Parameters, number:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["n", "values"])
 
-    parts = texts.mapInArrow(work, "n long, values binary").repartition(8).mapInArrow(average, "n long, values binary").collect()  # 8 rows
+    parts = symbols.mapInArrow(work, "n long, values binary").repartition(8).mapInArrow(average, "n long, values binary").collect()  # 8 rows
     total = sum(r["n"] for r in parts)
     return start.unpack(sum(np.frombuffer(r["values"]) * (r["n"] / total) for r in parts)) if total else start
 
