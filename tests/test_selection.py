@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules, temporal, text
 from tidemark.operators import ranking, selection
 from tidemark.sources import readers
-from tidemark.streaming.ingest import ingest
+from tidemark.streaming.ingest import as_of, ingest, replace_summaries
 
 
 def one(spark, column):
@@ -91,11 +91,20 @@ def test_sources(spark, tmp_path):
     (tmp_path / "d.html").write_text("<p>Hi<script>x</script> you</p>")
     rows = lambda name, kind: [tuple(r) for r in readers.read_corpus(spark, str(tmp_path / name), kind).collect()]
     jsonl = rows("a.jsonl", "jsonl")
-    assert ("x", "T", "one") in jsonl and len(jsonl) == 2 and all(r[0] for r in jsonl)
+    assert sorted(jsonl) == [("line_4", "", "three"), ("x", "T", "one")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "e.md").write_bytes(b"broken \xff byte")
+    (tmp_path / "sub" / "g.bin").write_text("passed over")
+    (tmp_path / "h.jsonl").write_text('{"_id": "", "id": "k", "text": "", "body": "empty id, other text field"}\n')
+    assert rows("h.jsonl", "jsonl") == [("k", "", "empty id, other text field")]
+    assert {(r[0], r[2]) for r in map(tuple, readers.read_folder(spark, str(tmp_path)).collect())} >= {("e", "broken \ufffd byte"), ("d", "Hi you"), ("x", "one"), ("7", "hello"), ("1", "r")}
     assert rows("b.json", "json") == [("1", "", "r")] and rows("c.tsv", "tsv") == [("7", "", "hello")] and rows("d.html", "html") == [("d", "", "Hi you")]
     for name, body in (("l1", '["a", " b ", "a"]'), ("l2", '{"document_ids": ["b", "a"]}'), ("l3", "a\n\nb\n")):
         (tmp_path / name).write_text(body)
         assert sorted(r["doc_id"] for r in readers.allow_list(spark, str(tmp_path / name)).collect()) == ["a", "b"]
+    (tmp_path / "l4").write_text(" \n")
+    with pytest.raises(ValueError, match="lists no document"):
+        readers.allow_list(spark, str(tmp_path / "l4"))
 
 
 def test_ingest_twice(spark, tmp_path):
@@ -107,4 +116,16 @@ def test_ingest_twice(spark, tmp_path):
     (source / "2.json").write_text('{"doc_id": "a", "text": "late"}\n{"doc_id": "b", "text": "2"}\n')
     run()
     run()
-    assert sorted(map(tuple, spark.read.parquet(store).collect())) == [("a", "1"), ("b", "2")]
+    assert sorted(map(tuple, spark.read.parquet(store).select("doc_id", "text").collect())) == [("a", "1"), ("b", "2")]
+    rows = spark.read.parquet(store)
+    assert as_of(rows.withColumn("valid", F.lit("2020-01-01").cast("date")), F.col("valid"), F.col("ingested_at"), F.lit("2021-01-01").cast("date"), F.lit("2020-06-01").cast("timestamp")).isEmpty()
+
+
+def test_summaries_are_replaced_for_touched_filings_alone(spark, tmp_path):
+    raw = spark.createDataFrame([("f1", "a"), ("f1", "b"), ("f2", "c")], "filing string, text string")
+    made = lambda rows: rows.groupBy("filing").agg(F.count("*").alias("n"))
+    store = str(tmp_path / "summaries")
+    replace_summaries(raw, raw, store, "filing", made)
+    more = raw.unionByName(spark.createDataFrame([("f1", "d"), ("f2", "late")], raw.schema))
+    replace_summaries(more, more.filter("text = 'd'"), store, "filing", made)
+    assert {r["filing"]: r["n"] for r in spark.read.parquet(store).collect()} == {"f1": 3, "f2": 1}

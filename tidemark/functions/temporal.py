@@ -9,22 +9,65 @@ from .text import bind
 
 
 def filing_meta(title: Column) -> Column:
-    """Struct ticker, filing_date, year, form, section, family of `TICKER_DATE_FORM_NN_item_CODE_words` titles."""
-    parts = F.split(title, "_")
-    at = lambda i: F.get(parts, F.lit(i))
-    date = F.when(at(1).rlike(r"^\d{4}-\d{2}-\d{2}$"), at(1)).otherwise(F.lit("unknown-date"))
-    tail = F.regexp_extract(title, r"_item_(.*)$", 1)
-    code = F.regexp_extract(tail, r"^([0-9]+[a-z]?)", 1)
-    dotted = F.when(code.rlike(r"^\d{3}$"), F.concat(F.substring(code, 1, 1), F.lit("."), F.substring(code, 2, 2))).otherwise(F.upper(code))
-    words = F.trim(F.regexp_replace(F.regexp_replace(tail, r"^[0-9]+[a-z]?_?", ""), "_", " "))
-    return F.struct(
-        F.when(at(0) == "", "UNKNOWN").otherwise(F.coalesce(at(0), F.lit("UNKNOWN"))).alias("ticker"),
-        F.coalesce(date, F.lit("unknown-date")).alias("filing_date"),
-        F.when(date == "unknown-date", "unknown-year").otherwise(F.substring(date, 1, 4)).alias("year"),
-        F.coalesce(at(2), F.lit("unknown-form")).alias("form"),
-        F.when(tail == "", "unknown").when(words == "", F.concat(F.lit("Item "), dotted)).otherwise(F.concat(F.lit("Item "), dotted, F.lit(": "), words)).alias("section"),
-        F.when(tail == "", "unknown").otherwise(F.concat(F.lit("Item "), dotted)).alias("family"),
-    )
+    """Struct of what a title such as `TICKER_DATE_FORM_NN_item_CODE_words` tells, with the names of its graph nodes.
+
+    The marker `_item_` is found in any case; a code of three digits gets a point after the first. Fields: ticker, filing_date, year,
+    form, section, family, filing_node, section_node, comparison_group.
+    """
+
+    def told(parts: Column, tail: Column) -> Column:
+        at = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
+        first = F.get(tail, F.lit(0))
+        code = F.when(first.rlike(r"^\d{3}$"), F.concat(F.left(first, F.lit(1)), F.lit("."), F.right(first, F.lit(2)))).otherwise(first)
+        label = F.trim(F.regexp_replace(F.array_join(F.slice(tail, 2, F.greatest(F.size(tail), F.lit(1))), " "), r"\s+", " "))
+        item = F.concat(F.lit("Item "), code)
+        named = F.coalesce(F.nullif(label, F.lit("")), F.lit("unknown"))
+        section = F.when(F.size(tail) == 0, "unknown").when(code == "unknown", named).when(label == "", item).otherwise(F.concat(item, F.lit(": "), label))
+        short = F.concat(F.lit("unknown: "), F.array_join(F.slice(F.split(label, " "), 1, 6), " "))
+        family = F.when(F.size(tail) == 0, "unknown").when(code != "unknown", item).when(label == "", "unknown").otherwise(short)
+        date = F.when(at(1).rlike(r"^\d{4}-\d{2}-\d{2}$"), at(1)).otherwise(F.lit("unknown-date"))
+        year = F.when(date == "unknown-date", "unknown-year").otherwise(F.left(date, F.lit(4)))
+        ticker, form = F.coalesce(at(0), F.lit("UNKNOWN")), F.coalesce(at(2), F.lit("unknown-form"))
+        filing = F.concat_ws(" ", ticker, form, date)
+        columns = {"ticker": ticker, "filing_date": date, "year": year, "form": form, "section": section, "family": family, "filing_node": filing}
+        columns |= {"section_node": F.concat(filing, F.lit(" | "), section), "comparison_group": F.concat_ws(" ", form, year, family)}
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    tail = F.filter(F.split(F.regexp_extract(title, r"(?is)^.*?_item_(.*)$", 1), "_"), lambda x: x != "")
+    return bind(F.split(title, "_"), lambda parts: bind(tail, lambda rest: told(parts, rest)))
+
+
+# Fixed value: a title's start with ticker, date and form.
+TITLE = r"^([A-Z][A-Z0-9.-]{0,15})_(\d{4})-\d{2}-\d{2}_([^_]+)"
+
+
+def title_metadata(title: Column, latest: Column | None = None) -> Column:
+    """Struct company_ticker, filing_year, period_year, filing_form of a title; null where its start is not of that form.
+
+    An annual report (10-K) filed by next year tells of the year before.
+    """
+    latest = F.year(F.current_date()) + 1 if latest is None else latest
+    at = lambda i: F.regexp_extract(title, TITLE, i)
+    year, form = at(2).try_cast("int"), F.upper(at(3))
+    period = F.when((form == "10-K") & (year <= latest), year - 1).otherwise(year)
+    return F.when(at(1) != "", F.struct(F.upper(at(1)).alias("company_ticker"), year.alias("filing_year"), period.alias("period_year"), form.alias("filing_form")))
+
+
+def normalise_space(text: Column) -> Column:
+    """Runs of white space, hard spaces and what is left of broken ones as one space; the ends are trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "[\u00a0\u00c2]", " "), r"\s+", " "))
+
+
+def episode_years(filing_date: Column, periods: Column) -> Column:
+    """Years named by a filing's date and by labels and dates of its reporting periods."""
+    values = F.concat(F.array(filing_date.cast("string")), F.flatten(F.transform(periods, lambda p: F.array(p["label"], p["start"].cast("string"), p["end"].cast("string")))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(values, lambda x: x.isNotNull()), years_in))))
+
+
+def window_dates(filing_date: Column, periods: Column) -> Column:
+    """The dates that a time window is held against: ends of reporting periods, or the filing's date where there are none."""
+    ends = F.array_distinct(F.filter(F.flatten(F.transform(periods, lambda p: F.array(p["start"].cast("date"), p["end"].cast("date")))), lambda x: x.isNotNull()))
+    return F.when(F.size(ends) > 0, ends).otherwise(F.filter(F.array(filing_date.cast("date")), lambda x: x.isNotNull()))
 
 
 def period_year(form: Column, year: Column) -> Column:
@@ -51,7 +94,7 @@ def iso_date(text: Column) -> Column:
 
 def reporting_periods(text: Column, limit: int = 8) -> Column:
     """Array of (label, type, start, end): periods ended, ranges, days, each label once (case does not count)."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text, "[\u00a0\u00c2]", " "), r"\s+", " "))
+    clean = normalise_space(text)
     at = lambda x, i: iso_date(F.get(F.regexp_extract_all(x, F.lit(f"(?i)({DATE})"), F.lit(1)), F.lit(i)))
 
     def found(pattern: str, kind, start, end) -> Column:
@@ -92,4 +135,5 @@ def relative_window(n: Column, unit: Column, reference: Column) -> Column:
     """Struct start, end of the past n years (from a first of January), quarters or months (shifted by whole months) up to a date."""
     months = n * F.when(unit == "quarter", 3).otherwise(1)
     start = F.when(unit == "year", F.make_date(F.year(reference) - n + 1, F.lit(1), F.lit(1))).otherwise(F.add_months(reference, -(months - 1)))
-    return F.struct(start.alias("start"), reference.alias("end"))
+    years = F.sequence(F.year(start), F.year(reference))
+    return F.struct(start.alias("start"), reference.alias("end"), years.alias("years"))

@@ -64,18 +64,41 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 
 def strips(text: Column, sentences: int = 3) -> Column:
-    """Array of strips of so many sentences."""
+    """Array of strips of so many sentences, joined by a space; a sentence ends with white space after . ! or ?"""
     def cut(parts: Column) -> Column:
         n = F.size(parts)
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(sentences))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda a: F.array_join(F.slice(parts, a + 1, F.lit(sentences)), ". "))
+        return F.transform(starts, lambda a: F.array_join(F.slice(parts, a + 1, F.lit(sentences)), " "))
 
-    return bind(F.transform(F.filter(F.split(text, r"[.!?]+"), lambda x: F.trim(x) != ""), lambda x: F.trim(x)), cut)
+    return bind(F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != ""), cut)
 
 
-def singular(term: Column) -> Column:
-    """Plural endings: ies to y; a last s goes unless the word ends in ss or us."""
-    return F.when(F.length(term) > 3, F.when(term.endswith("ies"), F.concat(F.substring(term, 1, F.length(term) - 3), F.lit("y"))).when(term.endswith("s") & ~term.endswith("ss") & ~term.endswith("us"), F.substring(term, 1, F.length(term) - 1)).otherwise(term)).otherwise(term)
+# Words that are no keyword of a document, and marks that are stripped off its tokens.
+KEYWORD_STOPWORDS = """about after also among and are been being between but can company could date did does during each for from have herein
+into its not our report that the their this these they through under was were will with would you""".split()
+MARKS = ".-/'&"
+
+
+def keywords(text: Column, seeds: Column, limit: int = 12) -> Column:
+    """Seed terms, then the tokens of three letters or more in order of frequency, ties in order of letters; stopwords and numbers are left out.
+
+    Counted within the row: runs of the sorted tokens are its counts, so no row is shuffled.
+    """
+    words = F.transform(tokens(F.lower(text)), lambda w: F.btrim(w, F.lit(MARKS)))
+    kept = F.array_sort(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(KEYWORD_STOPWORDS) & ~w.rlike("^[0-9]+$")))
+
+    def ranked(ws: Column) -> Column:
+        first = F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | (F.get(ws, i - 1) != w), i)), lambda i: i.isNotNull())
+
+        def counted(at: Column) -> Column:
+            n = lambda i: F.coalesce(F.get(at, i + 1), F.size(ws)) - F.get(at, i)
+            pairs = F.array_sort(F.transform(at, lambda a, i: F.struct((-n(i)).alias("n"), F.get(ws, a).alias("w"))))
+            return F.transform(F.slice(pairs, 1, limit + 16), lambda p: p["w"])
+
+        return bind(first, counted)
+
+    seeded = F.array_distinct(F.filter(seeds, lambda x: x.isNotNull() & (x != "")))
+    return F.slice(F.array_distinct(F.concat(seeded, bind(kept, ranked))), 1, limit)
 
 
 #: Legal suffixes of company names.

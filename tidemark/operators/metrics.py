@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Per qid of gold(qid, doc_id): mrr and recall, precision, hit at each k; precision is over the rows returned. An empty ranking counts with zeros."""
-    sizes = gold.distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"))
-    found = ranked.join(gold.distinct().withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left")
+def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 10), asked: DataFrame | None = None) -> DataFrame:
+    """Per qid of gold(qid, doc_id), or of asked(qid): mrr and recall, precision, hit at each k; precision is over the rows returned.
+
+    An empty ranking counts with zeros; a question without gold has no hits, and recall 0.
+    """
+    wanted = gold.filter("doc_id is not null").distinct()
+    sizes = (gold if asked is None else asked).select("qid").distinct().join(wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold")), "qid", "left")
+    found = ranked.join(wanted.withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left")
     aggs = [F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")]
     for k in ks:
         top = F.col("rank") <= k
@@ -18,10 +22,18 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5
     cols = ["qid", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr")]
     for k in ks:
         hits = F.coalesce(f"hits_{k}", F.lit(0))
-        cols += [F.round(hits / F.col("n_gold"), 6).alias(f"recall_{k}"), F.round(F.when(F.col(f"top_{k}") > 0, hits / F.col(f"top_{k}")).otherwise(0.0), 6).alias(f"precision_{k}"), (hits > 0).cast("int").alias(f"hit_{k}")]
+        cols += [F.round(F.when(F.col("n_gold") > 0, hits / F.col("n_gold")).otherwise(0.0), 6).alias(f"recall_{k}"), F.round(F.when(F.col(f"top_{k}") > 0, hits / F.col(f"top_{k}")).otherwise(0.0), 6).alias(f"precision_{k}"), (hits > 0).cast("int").alias(f"hit_{k}")]
     return per.select(*cols)
 
 
+def system_summary(rows: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """Per system of rows(system, latency_ms, error, mrr, recall_k, precision_k, hit_k): runs, errors, latencies and mean quality; failed runs count with their zeros."""
+    p = lambda q: F.round(F.percentile("latency_ms", q), 6)
+    failed = F.count_if(F.coalesce(F.col("error"), F.lit("")) != "")
+    means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("latency_ms", "mrr", *(f"{m}_{k}" for k in ks for m in ("recall", "precision", "hit")))]
+    return rows.groupBy("system").agg(F.count(F.lit(1)).alias("runs"), failed.alias("errors"), p(0.5).alias("median_ms"), p(0.95).alias("p95_ms"), *means)
+
+
 def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Count, mean, median and linearly interpolated 95th percentile."""
     p = lambda q: F.round(F.percentile(value, q), 6)

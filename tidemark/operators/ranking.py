@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +22,61 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, condition: Colum
     """(qid, doc_id, score, rank) of the k chunks nearest by cosine, the condition applied before scoring.
 
     queries(qid, qvec, ...) is a stated set. It is counted and sent to all chunks in blocks of at most about
-    BROADCAST_QUERIES rows. Norms are taken once a row. Scores are rounded to 6 digits, ties go to the smaller doc_id.
+    BROADCAST_QUERIES rows. Without a condition (all chunks but a query's own) each task scores batches of chunks by one matrix
+    product and keeps k rows a query; a condition is a join's. Scores are rounded to 6 digits, ties go to the smaller doc_id.
     """
-    asked = queries.withColumn("_qnorm", norm(F.col("qvec"))).filter("_qnorm > 0")
-    held = chunks.withColumn("_norm", norm(F.col("vec"))).filter("_norm > 0")
-    where = condition if condition is not None else F.col("doc_id") != F.col("qid")
-    cosine = dot(F.col("qvec"), F.col("vec")) / (F.col("_qnorm") * F.col("_norm"))
+    found = in_blocks(queries, lambda part: _joined(part, chunks, condition) if condition is not None else _products(part, chunks, k))
+    scored = found.withColumn("score", F.round("score", 6))
+    return ranked(scored, ["qid"], [F.desc("score"), F.col("doc_id")], k)
 
-    def block(part: DataFrame) -> DataFrame:
-        pairs = held.join(F.broadcast(part), where & (F.size("vec") == F.size("qvec")))
-        return ranked(pairs.select("qid", "doc_id", F.round(cosine, 6).alias("score")), ["qid"], [F.desc("score"), F.col("doc_id")], k)
 
+def in_blocks(queries: DataFrame, use) -> DataFrame:
+    """use(block) over all blocks of a stated set of queries, each of at most about BROADCAST_QUERIES rows, which may be broadcast."""
     rows = queries.count()
     n = 1 if rows <= BROADCAST_QUERIES else -(-2 * rows // BROADCAST_QUERIES)
-    if n == 1:
-        return block(asked)
-    return reduce(DataFrame.unionByName, [block(asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)])
+    return reduce(DataFrame.unionByName, [use(queries if n == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)])
+
+
+def _joined(queries: DataFrame, chunks: DataFrame, condition: Column) -> DataFrame:
+    asked = queries.withColumn("_qnorm", norm(F.col("qvec"))).filter("_qnorm > 0")
+    held = chunks.withColumn("_norm", norm(F.col("vec"))).filter("_norm > 0")
+    cosine = dot(F.col("qvec"), F.col("vec")) / (F.col("_qnorm") * F.col("_norm"))
+    return held.join(F.broadcast(asked), condition & (F.size("vec") == F.size("qvec"))).select("qid", "doc_id", cosine.alias("score"))
+
+
+def _products(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best of each task for each query; ids are whole numbers."""
+    sides: dict = {}
+    for r in queries.filter("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("v")).collect():  # a block of the stated set
+        if r["v"] and None not in r["v"] and np.linalg.norm(r["v"]) > 0:
+            sides.setdefault(len(r["v"]), []).append((r["qid"], r["v"]))
+    known = {size: (np.array([q for q, _ in rows], np.int64), (x := np.array([v for _, v in rows], np.float64)) / np.linalg.norm(x, axis=1)[:, None]) for size, rows in sides.items()}
+    sent = queries.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {size: (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)) for size, (q, _) in sent.value.items()}
+        for batch in batches:
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), -1))
+            for size in set(sizes.tolist()) & set(best):
+                rows = batch.filter(pa.array(sizes == size))
+                vectors = np.asarray(rows.column(1).flatten(), np.float64).reshape(-1, size)
+                length = np.linalg.norm(vectors, axis=1)
+                ok = length > 0
+                ids = np.asarray(rows.column(0), np.int64)[ok]
+                q, x = sent.value[size]
+                for a in range(0, len(ids), 1024):
+                    some = ids[a : a + 1024]
+                    score = x @ (vectors[ok][a : a + 1024] / length[ok][a : a + 1024, None]).T
+                    score[q[:, None] == some[None, :]] = -np.inf
+                    held, names = (np.concatenate(z, axis=1) for z in zip(best[size], (score, np.broadcast_to(some, score.shape)), strict=True))
+                    order = np.lexsort((names, -np.round(held, 6)), axis=1)[:, : k + 8]  # a few more, as rounding is settled outside
+                    best[size] = (np.take_along_axis(held, order, 1), np.take_along_axis(names, order, 1))
+        for size, (held, names) in best.items():
+            row, column = np.nonzero(held > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[size][0][row]), pa.array(names[row, column]), pa.array(held[row, column])], names=["qid", "doc_id", "score"])
+
+    rows = chunks.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).filter("doc_id is not null and vec is not null and not exists(vec, x -> x is null)")
+    return rows.mapInArrow(work, "qid long, doc_id long, score double")
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -58,17 +102,75 @@ def reciprocal_rank_fusion(rows: DataFrame, k: int = 60, first_weight: float = 1
     return ranked(fused, ["qid"], [F.desc("rrf"), F.desc_nulls_last("best"), F.col("doc_id")])
 
 
+def picked(rows: DataFrame, key: str, order: list[Column], pick: Callable[[list[dict]], list[dict]], columns: list[str], number: str = "rank") -> DataFrame:
+    """The columns of what pick(group) chooses of each key's rows, given in order, numbered from 1. A key's rows are a bounded pool, so a group is small.
+
+    Groups are walked through within a partition, so a key costs its rows and no call of its own.
+    """
+    kinds = dict(rows.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held = None, []
+
+        def lines() -> Iterator[dict]:
+            nonlocal schema
+            for batch in batches:
+                schema = pa.schema([*(batch.schema.field(c) for c in columns), pa.field(number, pa.int32())])
+                yield from batch.to_pylist()
+
+        for _, group in groupby(lines(), key=lambda r: r[key]):
+            held += [{c: r[c] for c in columns} | {number: i} for i, r in enumerate(pick(list(group)), 1)]
+            if len(held) > 10_000:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, *order)
+    return ordered.mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in columns) + f", {number} int")
+
+
+def reserve_years(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """n of rows(qid, chunk_id, doc_id, years, score): for each year of wanted(qid, years) in order the best row of it whose document is not taken, then the rest by score, one a document."""
+    held = rows.select("qid", "chunk_id", "doc_id", "years", "score").join(wanted.select("qid", F.col("years").alias("asked")), "qid")
+
+    def pick(pool: list[dict]) -> list[dict]:
+        taken, chosen = set(), []
+        for year in [*sorted(pool[0]["asked"] or []), None]:
+            for row in pool:
+                if row["doc_id"] not in taken and (year is None or year in (row["years"] or [])):
+                    taken.add(row["doc_id"])
+                    chosen.append(row)
+                    if year is not None:
+                        break
+        return chosen[:n]
+
+    return picked(held, "qid", [F.desc("score"), F.col("chunk_id")], pick, ["qid", "chunk_id", "doc_id", "score"])
+
+
 def year_reserve(rows: DataFrame, n: int) -> DataFrame:
-    """Of rows(qid, year, doc_id, score): first the best row of each year, earliest year first, then the rest by score, n in all."""
+    """Of rows(qid, year, doc_id, score) with one year each: first the best row of each year, earliest year first, then the rest by score, n in all."""
     best = ranked(rows, ["qid", "year"], [F.desc("score"), F.col("doc_id")], name="in_year")
     slot = F.when(F.col("in_year") == 1, F.col("year"))
     return ranked(best, ["qid"], [F.asc_nulls_last(slot), F.desc("score"), F.col("doc_id")], n).select("qid", "year", "doc_id", "score", "rank")
 
 
 def year_quota(rows: DataFrame, n: int) -> DataFrame:
-    """Years take turns, each by score, up to max(1, n / years) rows of a year; then the rest by score."""
-    years = F.size(F.collect_set("year").over(Window.partitionBy("qid")))
-    quota = F.greatest(F.lit(1), F.floor(F.lit(n) / years))
-    turn = ranked(rows, ["qid", "year"], [F.desc("score"), F.col("doc_id")], name="turn").withColumn("quota", quota)
-    first = F.when(F.col("turn") <= F.col("quota"), F.col("turn"))
-    return ranked(turn, ["qid"], [F.asc_nulls_last(first), F.when(first.isNotNull(), F.col("year")), F.desc("score"), F.col("doc_id")], n).select("qid", "year", "doc_id", "score", "rank")
+    """n of rows(qid, year, doc_id, score), where a row may stand in several years: years take turns, each its best row that no year has taken yet, up to max(1, n / years) turns; then the rest by score."""
+
+    def pick(pool: list[dict]) -> list[dict]:
+        years = sorted({r["year"] for r in pool})
+        left = {y: iter([r for r in pool if r["year"] == y]) for y in years}
+        taken: dict = {}
+        for _ in range(max(1, n // len(years))):
+            for y in years:
+                row = next((r for r in left[y] if r["doc_id"] not in taken), None)
+                if row is not None:
+                    taken[row["doc_id"]] = row
+        for row in pool:
+            if len(taken) >= n:
+                break
+            taken.setdefault(row["doc_id"], row)
+        return list(taken.values())[:n]
+
+    return picked(rows.filter("year is not null"), "qid", [F.desc("score"), F.col("doc_id"), F.col("year")], pick, ["qid", "year", "doc_id", "score"])

@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import TOKEN, bind, tokens
-from .ranking import keep_first, ranked
+from .ranking import keep_first, picked, ranked
 
 #: Names that are sent to all tasks at once; more names are joined by a shuffle.
 BROADCAST_NAMES = 100_000
@@ -48,50 +49,53 @@ def corrective(initial: DataFrame, expanded: DataFrame, half: int = 4) -> DataFr
 _PATTERNS = {label: re.compile(pattern, re.IGNORECASE) for label, pattern in rules.METRICS}
 
 
-def _better(r: dict) -> tuple:
-    known = r["score"] is not None and not pd.isna(r["score"])
-    return (known, r["score"] if known else float("-inf"), r["branch_no"] == 0, -r["rank"], r["evidence_id"])
+def slots_of(branches: list[str], text: Callable[[str], re.Pattern] | None = None) -> list[tuple[str, re.Pattern]]:
+    """What a question's branches ask for: a slot for each year, then for each metric, with the pattern that a text must match. Further matchers may be given by text."""
+    asked = "\n".join(sorted(set(branches)))
+    years = sorted(set(re.findall(r"(?<!\d)(?:19|20)\d\d(?!\d)", asked)))
+    return [(f"year:{y}", re.compile(y)) for y in years] + [(f"metric:{m}", p) for m, p in _PATTERNS.items() if p.search(asked)] + ([("text", text(asked))] if text else [])
 
 
-def coverage_slots(entries: DataFrame, n: int) -> DataFrame:
+def coverage_slots(entries: DataFrame, n: int, matcher: Callable[[str], re.Pattern] | None = None) -> DataFrame:
     """n documents per qid of entries(qid, branch_no, branch, doc_id, evidence_id, rank, score, text), one slot for each year and each metric that the branches name.
 
     Returns qid, slot (null for documents that fill the rest), status, doc_id. An entry matches a slot by its text, or, where
     no text does, by its branch. A qid's entries are a bounded pool of a few branches.
     """
+    known = F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double"))
+    order = [F.desc(known), F.desc("score"), F.desc(F.col("branch_no") == 0), F.col("rank"), F.desc("evidence_id")]
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted(pdf.to_dict("records"), key=_better, reverse=True)
-        asked = "\n".join(sorted({r["branch"] for r in pool}))
-        slots = [(f"year:{y}", re.compile(y)) for y in sorted(set(re.findall(r"(?<!\d)(?:19|20)\d\d(?!\d)", asked)))]
-        slots += [(f"metric:{name}", p) for name, p in _PATTERNS.items() if p.search(asked)]
-        chosen: dict = {}  # doc_id -> entry
+    def pick(pool: list[dict]) -> list[dict]:
+        taken: dict = {}
         out = []
-        for slot, pattern in slots:
-            fits = [r for r in pool if pattern.search(r["text"] or "")] or [r for r in pool if pattern.search(r["branch"])]
-            held = next((d for d, r in chosen.items() if pattern.search(r["text"] or "")), None)
-            free = next((r for r in fits if r["doc_id"] not in chosen), None)
+
+        def told(slot: str | None, status: str, doc) -> None:
+            out.append({"qid": pool[0]["qid"], "slot": slot, "status": status, "doc_id": doc})
+
+        for slot, pattern in slots_of([r["branch"] for r in pool], matcher):
+            by_text = {r["doc_id"]: r for r in reversed(pool) if pattern.search(r["text"] or "")}
+            fits = [r["doc_id"] for r in pool if (r["doc_id"] in by_text if by_text else pattern.search(r["branch"]))]
+            covered = next((d for d, r in taken.items() if pattern.search(r["text"] or "")), None)
+            free = next((d for d in fits if d not in taken), None)
             if not fits:
-                status, doc = "unavailable", None
-            elif held is not None:
-                status, doc = "covered_by_selected_evidence", held
+                told(slot, "unavailable", None)
+            elif covered is not None:
+                told(slot, "covered_by_selected_evidence", covered)
             elif free is None:
-                status, doc = "only_available_in_already_selected_document", fits[0]["doc_id"]
-            elif len(chosen) >= n:
-                status, doc = "no_remaining_result_slot", free["doc_id"]
+                told(slot, "only_available_in_already_selected_document", fits[0])
+            elif len(taken) >= n:
+                told(slot, "no_remaining_result_slot", free)
             else:
-                status, doc = "selected", free["doc_id"]
-                chosen[doc] = free
-            out.append((slot, status, doc))
+                taken[free] = by_text.get(free) or next(r for r in pool if r["doc_id"] == free)
+                told(slot, "selected", free)
         for r in pool:
-            if len(chosen) < n and r["doc_id"] not in chosen:
-                chosen[r["doc_id"]] = r
-                out.append((None, "filled", r["doc_id"]))
-        made = pd.DataFrame(out, columns=["slot", "status", "doc_id"]).astype({"doc_id": "Int64"})
-        made.insert(0, "qid", pdf["qid"].iloc[0])
-        return made
+            if len(taken) < n and r["doc_id"] not in taken:
+                taken[r["doc_id"]] = r
+                told(None, "filled", r["doc_id"])
+        return out
 
-    return entries.groupBy("qid").applyInPandas(pick, "qid long, slot string, status string, doc_id long")
+    rows = entries.withColumn("slot", F.lit(None).cast("string")).withColumn("status", F.lit(None).cast("string"))
+    return picked(rows, "qid", order, pick, ["qid", "slot", "status", "doc_id"], "no").drop("no")
 
 
 def plain_words(text: Column) -> Column:
@@ -99,23 +103,46 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def resolve_phrases(names: DataFrame, docs: DataFrame, width: int = 3) -> DataFrame:
-    """Per name of names(name_id, phrase): tickers, the number of distinct ticker among docs(ticker, text) that hold the phrase as whole words, and status.
+def phrase_tickers(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name_id, ticker), each once, of names(name_id, phrase) that texts of docs(ticker, text) hold as whole words.
 
-    A phrase is looked up by its first `width` words (fewer, if it has fewer) among the word runs of a text, then compared
-    whole, so no name meets a text that does not share its start.
+    Names are looked up by the first word of each, then compared whole at the places where it stands: in the worker, by one pass over
+    each text, where the names are few enough to be sent; else by a join on word runs of the names' lengths.
     """
+    plain = names.select("name_id", plain_words(F.col("phrase")).alias("phrase")).filter("phrase <> ''")
+    n = plain.count()
+    said = docs.filter("ticker is not null and text is not null").select("ticker", plain_words(F.col("text")).alias("said"))
+    if n <= BROADCAST_NAMES:
+        listed: dict = {}
+        for r in plain.collect():  # at most BROADCAST_NAMES rows
+            listed.setdefault(r["phrase"].split(" ", 1)[0], []).append((f" {r['phrase']} ", r["name_id"]))
+        sent = names.sparkSession.sparkContext.broadcast(listed)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = set()
+            for batch in batches:
+                found = set()
+                for ticker, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    padded = f" {text} "
+                    for word in sent.value.keys() & set(text.split(" ")):
+                        found.update((name, ticker) for phrase, name in sent.value[word] if (name, ticker) not in known and phrase in padded)
+                known |= found if len(known) < 1_000_000 else set()
+                rows = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["name_id", "ticker"])
+
+        return said.select(F.col("ticker").cast("string"), "said").mapInArrow(work, "name_id long, ticker string").distinct()
     words = F.split("phrase", " ")
-    keyed = names.select("name_id", plain_words(F.col("phrase")).alias("phrase")).filter("phrase <> ''")
-    keyed = keyed.withColumn("key", F.xxhash64(F.array_join(F.slice(words, 1, width), " ")))
-    keyed = F.broadcast(keyed) if names.count() <= BROADCAST_NAMES else keyed
-    spoken = docs.select("ticker", plain_words(F.col("text")).alias("said")).filter("said <> ''").withColumn("doc", F.xxhash64("said"))
-    run = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)])))
-    runs = bind(F.split("said", " "), lambda w: F.array_distinct(F.concat(*[run(w, n) for n in range(1, width + 1)])))
-    maybe = spoken.select("doc", runs.alias("runs")).select("doc", F.explode("runs").alias("key")).join(keyed, "key").select("doc", "name_id", "phrase").distinct()
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    hits = spoken.join(maybe, "doc").filter(F.contains(padded(F.col("said")), padded(F.col("phrase"))))
-    per = hits.groupBy("name_id").agg(F.count_distinct("ticker").alias("tickers"))
+    keyed = plain.withColumn("size", F.size(words)).withColumn("key", F.col("phrase"))
+    sizes = [r["size"] for r in keyed.select("size").distinct().collect()]  # lengths of names in words
+    run = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+    runs = bind(F.split("said", " "), lambda w: F.array_distinct(F.concat(*[F.when(F.size(w) >= k, run(w, k)).otherwise(F.array().cast("array<string>")) for k in sizes])))
+    maybe = said.select(F.col("ticker").cast("string"), F.explode(runs).alias("key")).distinct().join(keyed, "key")
+    return maybe.select("name_id", "ticker").distinct()
+
+
+def resolve_phrases(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per name of names(name_id, phrase): tickers, the number of distinct ticker among docs(ticker, text) that hold the phrase as whole words, and status."""
+    per = phrase_tickers(names, docs).groupBy("name_id").agg(F.count(F.lit(1)).alias("tickers"))
     n = F.coalesce("tickers", F.lit(0)).cast("long")
     status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
     return names.select("name_id").join(per, "name_id", "left").select("name_id", n.alias("tickers"), status.alias("status"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal, text
 from ..operators import evidence, graph, metrics, predicates, ranking
+from ..sources import stores
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -111,7 +112,9 @@ def query_rerank(t: Tables) -> DataFrame:
 
 @query("SELECT source AS source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1")
 def doc_dedupe(t: Tables) -> DataFrame:
-    return ranking.keep_first(t.documents.select("source", "doc_id", "text"), ["source", "text"], [F.col("doc_id")]).drop("text")
+    """The first document of each text in a source, found by the text's digest."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return t.documents.select("source", "doc_id", digest.alias("digest")).groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id")).select("source", "doc_id")
 
 
 _FILED = "f AS (SELECT o_custkey AS qid, year(o_orderdate) AS year, o_orderkey AS doc_id, o_totalprice AS score FROM orders)"
@@ -153,17 +156,12 @@ def token_windows(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.inline(text.token_windows(F.col("text"), 128, 16)))
 
 
-@query(f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM w WHERE length(token) > 3 GROUP BY ALL) SELECT doc_id, token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank FROM c QUALIFY rank <= 12")
+@query(f"""WITH w AS (SELECT doc_id, lang, unnest(list_transform(regexp_extract_all(lower(text), '{_TOKEN}'), lambda x: trim(x, '.-/''&'))) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM w WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ({", ".join(f"'{w}'" for w in text.KEYWORD_STOPWORDS)}) GROUP BY ALL),
+    r AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r FROM c), k AS (SELECT d.doc_id, lang, list(token ORDER BY r) FILTER (token <> lang) AS ks FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND r <= 13 GROUP BY d.doc_id, lang)
+    SELECT doc_id, array_to_string((CASE WHEN lang IS NULL OR lang = '' THEN [] ELSE [lang] END || coalesce(ks, []))[1:12], ';') AS keywords FROM k""")
 def keywords(t: Tables) -> DataFrame:
-    w = t.documents.select("doc_id", F.explode(text.tokens(F.lower("text"))).alias("token")).filter(F.length("token") > 3)
-    return ranking.ranked(w.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")), ["doc_id"], [F.desc("n"), F.col("token")], 12)
-
-
-def _weights(rows: DataFrame, key: str) -> DataFrame:
-    """1 + ln(tf) by token, over the row's norm."""
-    tf = rows.select(key, F.explode(text.tokens(F.lower("text"))).alias("token")).groupBy(key, "token").agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
-    norms = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return tf.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
+    """Twelve keywords of each document, its language as the seed."""
+    return t.documents.select("doc_id", F.array_join(text.keywords(F.col("text"), F.array("lang")), ";").alias("keywords"))
 
 
 def _weights_sql(table: str, key: str) -> str:
@@ -172,13 +170,16 @@ def _weights_sql(table: str, key: str) -> str:
 
 @query(f"SELECT doc_id, count(*) AS features, round(sum(w), 6) AS total FROM {_weights_sql('documents', 'doc_id')} GROUP BY doc_id")
 def tf_vectors(t: Tables) -> DataFrame:
-    return _weights(t.documents, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("w"), 6).alias("total"))
+    return stores.weights(t.documents, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("w"), 6).alias("total"))
 
 
 @query(f"SELECT item_id, doc_id, round(sum(q.w * d.w), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(q.w * d.w), 6) DESC, doc_id) AS rank FROM {_weights_sql('benchmark', 'item_id')} q JOIN {_weights_sql('documents', 'doc_id')} d USING (token) GROUP BY item_id, doc_id QUALIFY rank <= 15")
 def sparse_topk(t: Tables) -> DataFrame:
-    q = _weights(t.benchmark, "item_id").withColumnRenamed("w", "qw")
-    scored = q.join(_weights(t.documents, "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    """Each benchmark item's fifteen best documents; the items' postings, a stated set, go to the documents' in blocks."""
+    asked = stores.weights(t.benchmark, "item_id").withColumnsRenamed({"w": "qw", "item_id": "qid"})
+    held = stores.weights(t.documents, "doc_id")
+    met = ranking.in_blocks(asked, lambda part: held.join(F.broadcast(part), "feature").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")))
+    scored = met.groupBy(F.col("qid").alias("item_id"), "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return ranking.ranked(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], 15)
 
 
@@ -192,12 +193,18 @@ def clean_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("WITH f AS (SELECT o_orderkey, 'C' || o_custkey || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_10-K_0' || (o_orderkey % 7) || '_item_' || CASE WHEN o_orderkey % 3 = 0 THEN '101_entry_into_agreement' ELSE '7a_market_risk' END AS title, o_custkey, o_orderdate FROM orders) SELECT o_orderkey, 'C' || o_custkey AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, CAST(year(o_orderdate) AS VARCHAR) AS year, '10-K' AS form, CASE WHEN o_orderkey % 3 = 0 THEN 'Item 1.01: entry into agreement' ELSE 'Item 7A: market risk' END AS section, CASE WHEN o_orderkey % 3 = 0 THEN 'Item 1.01' ELSE 'Item 7A' END AS family, CAST(year(o_orderdate) - 1 AS INT) AS period_year FROM f")
+@query("""WITH f AS (SELECT o_orderkey, o_orderkey % 6 AS k, 'C' || o_custkey AS c, strftime(o_orderdate, '%Y-%m-%d') AS d, year(o_orderdate) AS y FROM orders),
+    g AS (SELECT *, CASE WHEN k = 3 THEN 'unknown-form' ELSE '10-K' END AS form, CASE k WHEN 0 THEN 'Item 1.01: entry into agreement' WHEN 1 THEN 'Item 7a: market risk' WHEN 2 THEN 'a b c d e f g' WHEN 4 THEN 'Item 9' ELSE 'unknown' END AS section, CASE k WHEN 0 THEN 'Item 1.01' WHEN 1 THEN 'Item 7a' WHEN 2 THEN 'unknown: a b c d e f' WHEN 4 THEN 'Item 9' ELSE 'unknown' END AS family FROM f)
+    SELECT o_orderkey, c AS ticker, CASE WHEN k = 5 THEN 'unknown-date' ELSE d END AS filing_date, CASE WHEN k = 5 THEN 'unknown-year' ELSE CAST(y AS VARCHAR) END AS year, form, section, family, c || ' ' || form || ' ' || CASE WHEN k = 5 THEN 'unknown-date' ELSE d END AS filing_node,
+        c || ' ' || form || ' ' || CASE WHEN k = 5 THEN 'unknown-date' ELSE d END || ' | ' || section AS section_node, form || ' ' || CASE WHEN k = 5 THEN 'unknown-year' ELSE CAST(y AS VARCHAR) END || ' ' || family AS comparison_group, CASE WHEN k = 5 THEN NULL WHEN form = '10-K' THEN CAST(y - 1 AS INT) ELSE CAST(y AS INT) END AS period_year FROM g""")
 def filing_meta(t: Tables) -> DataFrame:
-    item = F.when(F.col("o_orderkey") % 3 == 0, "101_entry_into_agreement").otherwise("7a_market_risk")
-    title = F.concat(F.lit("C"), "o_custkey", F.lit("_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_10-K_0"), F.col("o_orderkey") % 7, F.lit("_item_"), item)
-    out = t.orders.select("o_orderkey", F.inline(F.array(temporal.filing_meta(title))))
-    return out.withColumn("period_year", temporal.period_year(F.col("form"), F.col("year").cast("int")))
+    """What titles tell, with and without item, code, words, form and date."""
+    k = (F.col("o_orderkey") % 6).cast("int")
+    date = F.when(k == 5, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rest = F.element_at(F.array(*map(F.lit, ["10-K_01_item_101_entry_into_agreement", "10-K_02_ITEM_7a_market_risk", "10-K_03_item_unknown_a_b_c_d_e_f_g", "", "10-K_04_Item_9", "10-K_05_prologue"])), k + 1)
+    meta = temporal.filing_meta(F.concat(F.lit("C"), "o_custkey", F.lit("_"), date, F.lit("_"), rest))
+    out = t.orders.select("o_orderkey", meta.alias("m")).select("o_orderkey", "m.*")
+    return out.withColumn("period_year", temporal.period_year(F.col("form"), F.col("year").try_cast("int")))
 
 
 @query("SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS first_filed, strftime(max(o_orderdate), '%Y-%m-%d') AS last_filed, count(*) AS filings FROM orders GROUP BY o_custkey")
@@ -218,12 +225,6 @@ def year_overlap(t: Tables) -> DataFrame:
     return t.orders.join(years, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.size("ys").cast("long").alias("years"), F.arrays_overlap("ys", F.array(F.year("o_orderdate"))).alias("overlaps"))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON contains(' ' || lower(n_name) || ' ', lower(left(r_name, 1))) AND n_regionkey = r_regionkey")
-def alias_contains(t: Tables) -> DataFrame:
-    spoken = F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))
-    return t.nation.join(F.broadcast(t.region), (F.col("n_regionkey") == F.col("r_regionkey")) & F.contains(spoken, F.lower(F.left("r_name", F.lit(1))))).select("n_name", "r_name")
-
-
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def allow_list_semi(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(t.labels.select("doc_id"), "doc_id", "left_semi")
@@ -300,7 +301,8 @@ def greedy_cover(t: Tables) -> DataFrame:
     return evidence.greedy_cover(rows.withColumn("units", F.array(F.col("doc_id") % 3, F.col("doc_id") % 5 + 10)), 4)
 
 
-@query("WITH b AS (SELECT conv_id AS qid, turn AS pos, text, length(text) AS n, sum(length(text) + 2) OVER w - length(text) - 2 AS before, max(CAST(trim(text) = '' AS INT)) OVER w AS blank FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT qid, pos, least(n, 600 - before) AS chars FROM b WHERE blank = 0 AND before < 600")
+@query("""WITH b AS (SELECT conv_id AS qid, turn AS pos, text, length(text) AS n, sum(length(text) + 7) OVER w - length(text) - 7 AS before, max(CAST(coalesce(trim(text), '') = '' AS INT)) OVER w AS blank FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+    k AS (SELECT qid, pos, CASE WHEN n <= 600 - before THEN text ELSE rtrim(regexp_replace(left(text, CAST(600 - before AS BIGINT)), ' [^ ]*$', '')) END AS text FROM b WHERE blank = 0 AND before < 600) SELECT qid, pos, length(text) AS chars, text FROM k""")
 def context_budget(t: Tables) -> DataFrame:
     return evidence.context_budget(t.conversations.select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.col("text").alias("block")), 600)
 
@@ -317,18 +319,6 @@ def doc_frequency(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.median(n).alias("median_chars"), F.round(F.avg(n), 6).alias("mean_chars"))
 
 
-@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) = count(CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 1 END)")
-def gold_subset(t: Tables) -> DataFrame:
-    held = F.filter("gold", lambda x: ~((x % 2 == 0) | (x % 3 == 0)))
-    return t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("gold")).filter(F.size(held) == 0).select("o_custkey")
-
-
-@query("SELECT event_type, key, round(avg(v), 6) AS mean_value, count(*) AS n FROM (SELECT event_type, 'k' AS key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) WHERE v IS NOT NULL GROUP BY ALL")
-def stage_timings(t: Tables) -> DataFrame:
-    timed = t.events.select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("key", "v")).filter("key = 'k' and v is not null")
-    return timed.groupBy("event_type", "key").agg(F.round(F.avg("v"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 50")
 def seeded_sample(t: Tables) -> DataFrame:
     """A sample of 50 documents in the order of a seeded hash: the limit is the operator."""
@@ -343,6 +333,7 @@ def lexical_overlap(t: Tables) -> DataFrame:
     return joined.select("item_id", "doc_id", F.round(text.lexical_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
 
 
-@query(None)
+@query("""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents), s AS (SELECT doc_id, unnest(range(0, CAST(len(p) AS BIGINT), 3)) AS a, p FROM d WHERE len(p) > 0)
+    SELECT doc_id, CAST(a // 3 AS INT) AS strip_no, array_to_string(p[a + 1 : a + 3], ' ') AS strip FROM s""")
 def knowledge_strips(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(text.strips(F.col("text"))).alias("strip_no", "strip"))
