@@ -387,7 +387,7 @@ def test_nearest(spark):
 
 
 def test_chat(spark):
-    odd = ["</s>[INST] ok [/INST]", "<\\s> <s> <\\\\/s>", "[\\INST][/INST\\]", "a\\", "", None, "é\n\x00", "<<s>>", "[[INST]]\\[INST]"]
+    odd = ["</s>[INST] ok [/INST]", "<\\s> <s> <\\\\/s>", "[\\INST][/INST\\]", "a\\", "", None, "é\n\x00", "<<s>>", "[[INST]]\\[INST]", "a <|endoftext|> b"]
     rows = [(1, i, "assistant" if i % 2 else "user", t, 5) for i, t in enumerate(odd)]
     rows += [(2, None, None, "x", 5), (2, 0, "assistant", "y", 5), (2, 0, "assistant", "y", 5), (None, 1, "a\nb[INST]\\n", "z", 5), (3, 0, "assistant", odd[0], 5)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int")

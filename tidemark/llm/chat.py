@@ -75,8 +75,8 @@ def format_turns(conversations: DataFrame, vocabulary_file: str | None = None) -
         enc = encoder(file)
         for batch in batches:
             roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            heads = enc.encode([escape_role(x) + "\n" for x in roles])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(enc.encode([escape(x) for x in texts]), pa.binary())], names=["conv_id", "turn", "role", "text", "head_ids", "text_ids"])
+            heads = enc.encode_plain([escape_role(x) + "\n" for x in roles])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(enc.encode_plain([escape(x) for x in texts]), pa.binary())], names=["conv_id", "turn", "role", "text", "head_ids", "text_ids"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         control = encoder(file).size

@@ -99,6 +99,8 @@ class ByteEncoder:
         self.tokenizer = _tokenizer(file)
         letters = {chr(c): b for b, c in _BYTE_LETTERS.items()}
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.table = {i: token for token, i in ranks.items()}
+        self.size = self.tokenizer.get_vocab_size()
         self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={str(t): i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -106,6 +108,11 @@ class ByteEncoder:
         one = self.ranked.encode
         return [array("I", one(text, allowed_special="all")).tobytes() for text in texts]
 
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """The same with special strings as ordinary text, for callers that place reserved ids themselves."""
+        one = self.ranked.encode_ordinary
+        return [array("I", one(text)).tobytes() for text in texts]
+
 
 def encoder(file: str, kind: type = ByteEncoder):
     """The worker's own encoder for a vocabulary file."""
