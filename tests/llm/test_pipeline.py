@@ -96,6 +96,31 @@ def test_near_stage(spark, monkeypatch, large):
         assert len(kept) == 1 and out[kept[0]] == 1 and rank(kept[0]) == min(map(rank, group))
 
 
+def test_crowd_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
+    base = text_of(150, "c")
+    texts = [edited(base, *RNG.choice(150, int(RNG.integers(1, 7)), replace=False)) for _ in range(70)]
+    sets = [jaccard.shingle_set(t) for t in texts]
+    link = np.array([[jaccard.alike(x, y) for y in sets] for x in sets])
+    root = list(range(70))
+    for i in range(20):  # as if pivots had joined only these
+        root[i] = min(j for j in range(i + 1) if link[i, j])
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, hashes binary")
+    left = spark.createDataFrame([(k, i, len(sets[i]), root[i], 0) for k in (1, 2) for i in range(70)], "key long, node long, n int, root long, main long")
+    edges = [tuple(r) for r in jaccard._crowd_links(left, rows).collect()]
+    assert all(link[a, b] and root[a] != root[b] for a, b in edges) and any(link[a, b] for a in range(20, 70) for b in range(a))
+
+    def joined(pairs):
+        of = list(root)
+        for a, b in pairs:
+            old, new = of[a], of[b]
+            of = [new if x == old else x for x in of]
+        return {frozenset(i for i in range(70) if of[i] == x) for x in of}
+
+    # pairs inside the main component of the buckets are no one's question: those of the others must all be joined
+    assert joined(edges) == joined((a, b) for a in range(70) for b in range(70) if link[a, b] and (root[a] or root[b]))
+
+
 def test_near_copies_at_and_under_the_limit():
     x = text_of(49)
     hashed = [jaccard.shingle_set(t) for t in (x, edited(x, 10), edited(x, 10, 48))]
