@@ -45,6 +45,20 @@ def symbols_for(tokens: int) -> int:
     return min(SYMBOLS[1], max(SYMBOLS[0], 1 << round(math.log2(max(math.sqrt(tokens) / 8, 1)))))
 
 
+class KnownWords(dict):
+    """Index of each known word; another word gives -1 less its class."""
+
+    def __init__(self, words: dict[bytes, int], endings: dict[str, int], rest: int):
+        super().__init__(words)
+        self.endings, self.rest = endings, rest
+
+    def __reduce__(self):
+        return KnownWords, (dict(self), self.endings, self.rest)
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.endings.get(word.decode()[-ENDING:], self.rest)
+
+
 @dataclass
 class Vocabulary:
     """Counts of the training texts: tokens, distinct ones, texts; the known words with symbol, base and in-class log10; classes by ending; per class the log10 of its total.
@@ -56,7 +70,7 @@ class Vocabulary:
     types: int
     ends: int
     frequent: int
-    words: dict[bytes, int]
+    words: KnownWords
     symbol: np.ndarray
     base: np.ndarray
     inner: np.ndarray
@@ -70,10 +84,7 @@ class Vocabulary:
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Index of each word among the known ones; of another, -1 less its class."""
-        found = list(map(self.words.get, words))
-        if None in found:
-            found = [-1 - self.ending(w.decode()) if i is None else i for w, i in zip(words, found, strict=True)]
-        return np.array(found, np.int64)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def symbols(self, index: np.ndarray) -> np.ndarray:
         """Symbols of looked-up words, then the end."""
@@ -131,16 +142,17 @@ def all_normalisers(spark: SparkSession, model: Parameters) -> np.ndarray:
 
 def contexts(symbols: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbol two back, symbol before) of each symbol of a text; before the text stands the start."""
-    return np.concatenate([[start, start], symbols[:-2]])[: len(symbols)], np.concatenate([[start], symbols[:-1]])
+    before = np.full(min(2, len(symbols)), start, symbols.dtype)
+    return np.concatenate([before, symbols[:-2]]), np.concatenate([before[:1], symbols[:-1]])
 
 
 def _gather(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by row."""
+    """Sums of values by row; rows of 16 bits are sorted by their digits."""
     order = np.argsort(rows, kind="stable")
-    sorted_ = rows[order]
+    sorted_ = rows.take(order)
     first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     out = np.zeros((n, values.shape[1]), values.dtype)
-    out[sorted_[first]] = np.add.reduceat(values[order], first)
+    out[sorted_[first]] = np.add.reduceat(values.take(order, 0), first)
     return out
 
 
@@ -158,18 +170,29 @@ class Trainer:
     def step(self, far: np.ndarray, near: np.ndarray, wanted: np.ndarray) -> None:
         p, n = self.p, len(self.noise)
         drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), n - 1)
-        a, b = p.context[far], p.context[near]
-        h = a * p.scale[0] + b * p.scale[1]
-        target, other = p.target[wanted], p.target[drawn]
-        pull = 1 / (1 + np.exp((h * target).sum(1) + p.bias[wanted] - self.log_noise[wanted]))
-        push = -1 / (1 + np.exp(-(h @ other.T + p.bias[drawn] - self.log_noise[drawn])))
-        dh = pull[:, None] * target + push @ other
-        d_target = _gather(wanted, pull[:, None] * h, n)
+        h = p.context.take(far, 0)
+        h *= p.scale[0]
+        h += p.context.take(near, 0) * p.scale[1]
+        target, other, shift = p.target.take(wanted, 0), p.target[drawn], p.bias - self.log_noise
+        pull = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, target) + shift.take(wanted)))
+        push = h @ -other.T
+        push -= shift[drawn]
+        np.exp(push, out=push)
+        push += 1
+        np.divide(-1, push, out=push)
+        target *= pull[:, None]
+        dh = push @ other
+        dh += target
+        pushed = push.T @ h
+        h *= pull[:, None]
+        d_target = _gather(wanted, h, n)
         d_bias = np.bincount(wanted, pull, n)
-        np.add.at(d_target, drawn, push.T @ h)
+        np.add.at(d_target, drawn, pushed)
         np.add.at(d_bias, drawn, push.sum(0))
-        d_context = _gather(far, dh * p.scale[0], n + 1) + _gather(near, dh * p.scale[1], n + 1)
-        d_scale = np.stack([(dh * a).sum(0), (dh * b).sum(0)])
+        # the scales are the same in all rows: sums by symbol first, scaled after
+        by_far, by_near = _gather(far, dh, n + 1), _gather(near, dh, n + 1)
+        d_context = by_far * p.scale[0] + by_near * p.scale[1]
+        d_scale = np.stack([np.einsum("ij,ij->j", by_far, p.context), np.einsum("ij,ij->j", by_near, p.context)])
         for x, past, grad in zip(p.arrays(), self.past, (d_context, d_target, d_scale, d_bias), strict=True):
             grad = (grad / len(wanted)).astype(np.float32)
             past += grad * grad
@@ -225,7 +248,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     base = np.log10((n + 0.5) / (tokens + 0.5 * (types + 1)))
     inner = np.where(np.arange(len(n)) < k, 0.0, np.log10(n + 0.5) - class_total[own])
     noise = np.concatenate([[ends], np.pad(n[:k], (0, frequent - k)), held]) + 0.5
-    return Vocabulary(tokens, types, ends, frequent, {w.encode(): i for i, w in enumerate(top["word"])}, symbol, base, inner, endings, class_total, noise / noise.sum())
+    return Vocabulary(tokens, types, ends, frequent, KnownWords({w.encode(): i for i, w in enumerate(top["word"])}, endings, classes - 1), symbol, base, inner, endings, class_total, noise / noise.sum())
 
 
 def symbol_table(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -256,7 +279,7 @@ def train_round(symbols: DataFrame, noise: np.ndarray, start: Parameters, number
         noise, start = sent.value
         trainer, total = Trainer(start, noise, TaskContext.get().partitionId() + (number << 32), RATE / (1 + number)), 0
         for batch in batches:
-            held = [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column(0).to_pylist()]
+            held = [np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]
             if not held:
                 continue
             wanted = np.concatenate(held)
@@ -308,7 +331,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Paramete
                 known = index[index >= 0]
                 rows.append((uid, doc_id, len(symbols), len(known) + (vocab.ends > 0), float(vocab.base[known].sum()) + end_base, total / np.log(10) + float(vocab.inner[known].sum()), None, None, None))
                 if len(known) < len(index):
-                    for w, times in Counter(w for w, i in zip(words, index.tolist(), strict=True) if i < 0).items():
+                    for w, times in Counter(map(words.__getitem__, np.flatnonzero(index < 0).tolist())).items():
                         name = w.decode()
                         rows.append((uid, None, None, None, None, None, name, times, float(vocab.class_total[vocab.ending(name)])))
                 uid += 1
