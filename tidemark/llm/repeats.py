@@ -33,6 +33,8 @@ HOT, HOT_CLASS = 64, 8
 #: Bytes of segments in an index, and of texts that are hashed at once.
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
+#: Runs that a step walks over before the run of its row is searched for.
+WALK = 4
 
 _STEPS = np.random.default_rng(9).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -83,7 +85,7 @@ def segments(data: bytes, ends: np.ndarray, class_size: int = CLASS, length: int
     starts = len(data) - length + 1
     least = (np.minimum(after[:starts], before[width - 1 : width - 1 + starts]) & np.uint64((1 << 28) - 1)).astype(np.int64)
     s = np.arange(starts)
-    doc = np.searchsorted(ends, s, side="right")
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:starts]
     inside = s + length <= ends[doc]
     kind = (least - s) // class_size
     new = np.ones(starts, bool)
@@ -155,7 +157,8 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 class RunLengthIndex:
     """A run-compressed transform of a text, with samples at the ends of runs; statistics are streamed through the runs.
 
-    heads, letters: first row and letter of each run. jump: what a step to the letter before adds to a row of the run.
+    heads, letters: first row and letter of each run. jump: what a step to the letter before adds to a row of the run; target: the run
+    that the first row's step leads to, so that steps go from run to run without a search.
     above, below: what the suffix that such a step from the run's first (last) row leads to shares with the one above (below).
     """
 
@@ -178,6 +181,8 @@ class RunLengthIndex:
         reached = np.empty(len(self.heads), np.int64)
         reached[by_letter] = begin[self.letters[by_letter]] + before - before[first]
         self.jump = reached - self.heads
+        self.target = np.empty(len(self.heads), np.int64)
+        self.target[by_letter] = np.searchsorted(self.heads, reached[by_letter], "right") - 1  # in order: rows ascend from letter to letter
         words = _words(text)
         self.above, self.below = (self._shared(words, order, rows + self.jump, side) for rows, side in ((self.heads, -1), (self.tails, 1)))
         self.ends, self.rows = ends, rank[ends]
@@ -189,6 +194,17 @@ class RunLengthIndex:
         out[ok] = common_prefix(words, order[rows[ok]], order[other[ok]])
         return out
 
+    def _run(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """The run of each row, walked to from a run at or before it; rows that lie further are searched for."""
+        live = np.flatnonzero(row > self.tails[run])
+        for _ in range(WALK):
+            if not len(live):
+                return run
+            run[live] += 1
+            live = live[row[live] > self.tails[run[live]]]
+        run[live] = np.searchsorted(self.heads, row[live], "right") - 1
+        return run
+
     def statistics(self) -> np.ndarray:
         """For each position the longest prefix of its suffix that starts elsewhere as well; 0 after the last of the ends.
 
@@ -200,13 +216,14 @@ class RunLengthIndex:
         at, row, lengths = self.ends[lane], self.rows[lane], lengths[lane]
         above, below = (x[lane] for x in self.at_ends)
         out[at] = np.maximum(above, below)
+        run = np.searchsorted(self.heads, row, "right") - 1
         for step in range(1, int(lengths[0]) + 1 if len(lane) else 0):
             live = int(np.searchsorted(-lengths, -step, "right"))
-            row, above, below = row[:live], above[:live], below[:live]
-            run = np.searchsorted(self.heads, row, "right") - 1
+            row, above, below, run = row[:live], above[:live], below[:live], run[:live]
             above = np.where(row == self.heads[run], self.above[run], above + 1)
             below = np.where(row == self.tails[run], self.below[run], below + 1)
             row = row + self.jump[run]
+            run = self._run(row, self.target[run])
             out[at[:live] - step] = np.maximum(above, below)
         return out
 
@@ -218,7 +235,7 @@ def repeated_spans(parts: list[bytes], counts: list[int], length: int = LENGTH)
     ends = np.cumsum([len(p) + 1 for p in held]) - 1
     firsts = np.concatenate([[0], ends[:-1] + 1])
     found = RunLengthIndex(text, ends).statistics()
-    part = np.searchsorted(ends, np.arange(len(text)), side="left")
+    part = np.repeat(np.arange(len(held)), ends + 1 - firsts)
     again = (np.minimum(found, ends[part] - np.arange(len(text))) >= length) & (part < len(parts))
     new = again.copy()
     new[1:] &= ~again[:-1] | (part[1:] != part[:-1])
