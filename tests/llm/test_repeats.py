@@ -82,3 +82,21 @@ def test_repeated_and_missing_ids(spark):
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.find_repeats(table(spark, rows)).collect())
     size = lambda t: len((t or "").encode())
     assert got == sorted((-1 if i is None else i, size(t), size(b) if i == 7 else 0 if i is None and t != b else size(t)) for i, t, _ in rows)
+
+
+def test_steps_from_run_to_run(monkeypatch):
+    """Statistics do not depend on how many runs are walked over before a row's run is searched for."""
+    rng = np.random.default_rng(4)
+    parts = [bytes(rng.choice(list(letters), int(rng.integers(1, 90))).astype(np.uint8)) for letters in (b"a", b"ab", b"abc", bytes(range(97, 123))) for _ in range(12)]
+    parts += [parts[3] + parts[20], b"ab" * 40, parts[30] * 3]
+    text = b"\xff".join(parts) + b"\xff"
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    want = []
+    for i in range(len(text)):
+        best = 0
+        while i + best < len(text) and any(text.find(text[i : i + best + 1], a) not in (-1, i) for a in (0, i + 1)):
+            best += 1
+        want.append(best)
+    for walk in (0, 1, repeats.WALK, 1000):
+        monkeypatch.setattr(repeats, "WALK", walk)
+        assert repeats.RunLengthIndex(text, ends).statistics().tolist() == want
