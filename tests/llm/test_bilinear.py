@@ -101,3 +101,32 @@ def test_probabilities_sum_to_one():
 
 def test_empty(spark):
     assert bilinear.score_documents(table(spark, [])).count() == 0
+
+
+def test_step_follows_the_plain_gradient():
+    """One Adagrad step against sums written out token by token; 16-bit symbols give the same as wide ones."""
+    rng = np.random.default_rng(2)
+    noise = rng.random(7) + 0.1
+    noise /= noise.sum()
+    wanted, far, near = rng.integers(0, 7, 50), rng.integers(0, 8, 50), rng.integers(0, 8, 50)
+    start = bilinear.Parameters(*(x + rng.normal(0, 0.3, x.shape) for x in bilinear.Parameters.first(noise).arrays()))
+    drawn = np.minimum(np.searchsorted(np.cumsum(noise), np.random.default_rng(5).random(bilinear.NOISE)), 6)
+    grads = [np.zeros(x.shape) for x in start.arrays()]
+    for f, e, w in zip(far, near, wanted, strict=True):
+        h = start.context[f] * start.scale[0] + start.context[e] * start.scale[1]
+        dh = np.zeros(len(h))
+        for symbol, label in [(w, 1), *((d, 0) for d in drawn)]:
+            logit = h @ start.target[symbol] + start.bias[symbol] - np.log(bilinear.NOISE * noise[symbol])
+            off = label - 1 / (1 + np.exp(-logit))
+            dh += off * start.target[symbol]
+            grads[1][symbol] += off * h
+            grads[3][symbol] += off
+        grads[0][f] += dh * start.scale[0]
+        grads[0][e] += dh * start.scale[1]
+        grads[2] += [dh * start.context[f], dh * start.context[e]]
+    want = [x + bilinear.RATE * (g / 50) / np.sqrt(1e-3 + (g / 50) ** 2) for x, g in zip(start.arrays(), grads, strict=True)]
+    for kind in (np.int64, np.uint16):
+        trainer = bilinear.Trainer(start, noise, 5)
+        trainer.step(far.astype(kind), near.astype(kind), wanted.astype(kind))
+        for x, y in zip(trainer.p.arrays(), want, strict=True):
+            assert np.allclose(x, y, atol=2e-4)
