@@ -94,14 +94,13 @@ def iso_date(text: Column) -> Column:
 
 def reporting_periods(text: Column, limit: int = 8) -> Column:
     """Array of (label, type, start, end): periods ended, ranges, days, each label once (case does not count)."""
-    clean = normalise_space(text)
     at = lambda x, i: iso_date(F.get(F.regexp_extract_all(x, F.lit(f"(?i)({DATE})"), F.lit(1)), F.lit(i)))
 
-    def found(pattern: str, kind, start, end) -> Column:
+    def found(clean: Column, pattern: str, kind, start, end) -> Column:
         return F.transform(F.regexp_extract_all(clean, F.lit(f"(?i){pattern}"), F.lit(1)), lambda x: F.struct(F.trim(x).alias("label"), kind(x).alias("type"), start(x).alias("start"), end(x).alias("end")))
 
     none, first, second = (lambda x: F.lit(None).cast("date")), (lambda x: at(x, 0)), (lambda x: at(x, 1))
-    every = F.concat(found(ENDED, period_type, none, first), found(RANGE, lambda x: F.lit("range"), first, second), found(AS_OF, lambda x: F.lit("instant"), none, first))
+    every = bind(normalise_space(text), lambda x: F.concat(found(x, ENDED, period_type, none, first), found(x, RANGE, lambda _: F.lit("range"), first, second), found(x, AS_OF, lambda _: F.lit("instant"), none, first)))
     lower = lambda ps: F.transform(ps, lambda p: F.lower(p["label"]))
     once = bind(every, lambda ps: bind(lower(ps), lambda keys: F.filter(ps, lambda p, i: F.array_position(keys, F.lower(p["label"])) == i + 1)))
     return F.slice(once, 1, limit)
