@@ -183,3 +183,16 @@ def test_registered_simhash_query(spark, tmp_path):
             break
         least = now
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in out.items()} == {i: (f"{prints[i]:016x}", least[i]) for i in prints}
+
+
+def test_fingerprints_propose_pairs_and_sets_decide(spark):
+    """Without any band key in common, near copies that SimHash joins are linked, others with a near fingerprint are not."""
+    a = text_of(400)
+    texts = [a, edited(a, 399), edited(a, 0), text_of(400), text_of(300)]
+    sets = [jaccard.shingle_set(t) for t in texts]
+    prints = [simhash.fingerprint_of([x]) for x in sets]
+    assert all((prints[0] ^ prints[i]).bit_count() <= simhash.DISTANCE for i in (1, 2))
+    prints[4] = prints[0]  # as if unlike texts met in a fingerprint
+    rows = [(i, len(x), fp - (1 << 64) if fp >> 63 else fp, [], jaccard.minima(x).astype(np.uint8).tobytes(), x.tobytes()) for i, (x, fp) in enumerate(zip(sets, prints, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, n int, fp long, keys array<long>, sketch binary, hashes binary")
+    assert {(r["node"], r["root"]) for r in jaccard.link_sets(nodes, nodes.select("node", "hashes")).collect()} == {(0, 0), (1, 0), (2, 0)}

@@ -1,5 +1,7 @@
-"""Near-dedup by Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Near-dedup by Jaccard similarity of word shingles: SimHash, then MinHash bands find candidates, whole shingle sets decide.
 
+Sets whose fingerprints the SimHash operator joins are held against one of them first. A fingerprint of 64 bits is too short for all pairs at
+SIMILARITY (they differ in about 10 bits), so bands look for the rest: pairs that verified links of fingerprints do not connect yet.
 Each text is its set of shingle hashes; texts with one set are one node. BANDS keys of ROWS minima each make the index: of
 two sets alike to SIMILARITY, all keys differ with a chance of (1 - 0.8^5)^40, about 1e-7. Candidates whose sizes, then
 whose minima, rule the similarity out are put aside (another 1e-8); the others' sets are intersected.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact import drop_keyed, keep_once, text_key
 from .shared import bounded, save, small_batches, text_or_empty
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, link_prints, shingle_hashes
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -67,7 +69,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def prints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the text), node (of the set), n (its size), keys, sketch (a byte of each minimum), hashes of every whole text."""
+    """doc_id, digest (of the text), node (of the set), n (its size), fp (its fingerprint), keys, sketch (a byte of each minimum), hashes of every whole text."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +79,15 @@ def prints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col
             columns = [
                 pa.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64()),
                 pa.array([len(x) for x in sets], pa.int32()),
+                pa.array([fingerprint_of(x[at : at + (1 << 16)] for at in range(0, len(x), 1 << 16)) for x in sets], pa.uint64()).view(pa.int64()),
                 pa.array([[] if x is None else band_keys(x) for x in least], pa.list_(pa.int64())),
                 pa.array([b"" if x is None else x.astype(np.uint8).tobytes() for x in least], pa.binary()),
                 pa.array([x.tobytes() for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "digest", "node", "n", "keys", "sketch", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "digest", "node", "n", "fp", "keys", "sketch", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("digest"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, digest long, node long, n int, keys array<long>, sketch binary, hashes binary")
+    return rows.mapInArrow(work, "doc_id long, digest long, node long, n int, fp long, keys array<long>, sketch binary, hashes binary")
 
 
 def _fetched(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
@@ -162,21 +165,34 @@ def _crowd_links(left: DataFrame, rows: DataFrame) -> DataFrame:
     return save(asking.unionByName(asked).join(sets, "node").groupBy("main", "i", "j").applyInArrow(_block_links, "a long, b long"), "near-crowd-edges")
 
 
+def _print_stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of each node and the smallest one that the SimHash operator joins its fingerprint to."""
+    roots = save(link_prints(save(nodes.select("fp").distinct(), "near-fingerprints")), "near-print-links")
+    joined = nodes.select("node", "n", "fp").join(bounded(roots.select(F.col("node").alias("fp"), "root")), "fp", "left")
+    joined = save(joined.select("node", "n", F.coalesce("root", "fp").alias("root")), "near-printed")
+    centres = joined.groupBy("root").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    stars = joined.join(bounded(save(centres.select("root", "centre"), "near-centres")), "root")
+    return stars.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("centre.node").alias("b"), F.col("centre.n").alias("n_b")).filter("a <> b")
+
+
 def link_sets(nodes: DataFrame, rows: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
-    """(node, root) of the saved tables nodes(node, n, keys, sketch) and rows(node, hashes): components of the pairs that are alike. Nodes without such a pair are left out."""
-    index = nodes.select("node", "n", F.explode("keys").alias("key"))
-    pivots = [F.min(F.struct("node", "n")), F.max(F.struct("node", "n")), *[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))) for i in (2, 3)]]
+    """(node, root) of the saved tables nodes(node, n, fp, keys, sketch) and rows(node, hashes): components of the pairs that are alike. Nodes without such a pair are left out."""
+    printed = _verified(_print_stars(nodes), nodes, rows)
+    seen = bounded(save(components(printed), "near-seen").withColumnRenamed("root", "seen"))
+    index = nodes.select("node", "n", "keys").join(seen, "node", "left").select("node", "n", F.coalesce("seen", "node").alias("seen"), F.explode("keys").alias("key"))
+    member = F.struct("node", "n", "seen")
+    pivots = [F.min(member), F.max(member), *[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in (2, 3)]]
     buckets = save(index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.array(*pivots).alias("pivots")).filter("members > 1"), "near-buckets")
     held = save(index.join(bounded(buckets.select("key", "members")), "key"), "near-held")
-    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("seen").alias(f"seen_{x}"))
     small = held.filter(F.col("members") <= large_bucket)
-    pairs = side(small, "a").join(side(small, "b"), "key").filter("a < b").drop("key")
+    pairs = side(small, "a").join(side(small, "b"), "key").filter("a < b and seen_a <> seen_b").select("a", "n_a", "b", "n_b")
     large = save(buckets.filter(F.col("members") > large_bucket).select("key", "pivots"), "near-large")
     if large.isEmpty():
-        return components(_verified(pairs, nodes, rows))
+        return components(printed.unionByName(_verified(pairs, nodes, rows)))
     crowd = held.filter(F.col("members") > large_bucket)
-    stars = side(crowd, "a").join(bounded(large), "key").select("a", "n_a", F.inline("pivots").alias("b", "n_b")).filter("a <> b")
-    edges = _verified(pairs.unionByName(stars), nodes, rows)
+    stars = side(crowd, "a").join(bounded(large), "key").select("a", "n_a", "seen_a", F.inline("pivots").alias("b", "n_b", "seen_b")).filter("seen_a <> seen_b").select("a", "n_a", "b", "n_b")
+    edges = printed.unionByName(_verified(pairs.unionByName(stars), nodes, rows))
     roots = save(components(edges), "near-roots")
     named = save(crowd.join(bounded(roots), "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root"), "near-named")
     shares = named.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
@@ -195,7 +211,7 @@ def find_near_copies(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
     """
     rows = save(prints(docs, words, id_col, text_col), "near-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
-    nodes = save(rows.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch")]), "near-nodes")
+    nodes = save(rows.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")]), "near-nodes")
     roots = save(link_sets(nodes, rows, large_bucket), "near-links")
     joined = nodes.select("node", "first", "copies").join(bounded(roots), "node", "left")
     linked = joined.filter("root is not null")

@@ -12,7 +12,7 @@ against pivots first, and only members that are not yet connected to most of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -53,9 +53,14 @@ def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> Iterator[
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
-    """A bit is set if it is set in over half the hashes; 0 without words."""
+    """The fingerprint of a text's shingles; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(blocks: Iterable[np.ndarray]) -> int:
+    """A bit is set if it is set in over half the hashes, given in blocks; 0 without hashes."""
     total, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in blocks:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         whole = len(bits) // 255 * 255
         total += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
