@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
-from tidemark.llm import jaccard, mixing, packing, queries, repeats, simhash, toxicity
+from tidemark.llm import jaccard, mixing, packing, queries, repeats, shared, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -196,3 +196,10 @@ def test_fingerprints_propose_pairs_and_sets_decide(spark):
     rows = [(i, len(x), fp - (1 << 64) if fp >> 63 else fp, [], jaccard.minima(x).astype(np.uint8).tobytes(), x.tobytes()) for i, (x, fp) in enumerate(zip(sets, prints, strict=True))]
     nodes = spark.createDataFrame(rows, "node long, n int, fp long, keys array<long>, sketch binary, hashes binary")
     assert {(r["node"], r["root"]) for r in jaccard.link_sets(nodes, nodes.select("node", "hashes")).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_a_worker_keeps_one_thing_at_a_time():
+    one = shared.kept("one", dict)
+    assert shared.kept("one", dict) is one
+    shared.kept("two", dict)
+    assert shared.kept("one", dict) is not one

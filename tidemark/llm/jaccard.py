@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact import drop_keyed, keep_once, text_key
-from .shared import bounded, save, small_batches, text_or_empty
+from .shared import bounded, kept, save, small_batches, text_or_empty
 from .simhash import fingerprint_of, link_prints, shingle_hashes
 
 WORDS = 5
@@ -73,6 +73,7 @@ def prints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("shingles", dict)  # nothing of the operators before stays in the worker
         for batch in batches:
             sets = [shingle_set(x, words) for x in batch.column(2).to_pylist()]
             least = [minima(x) if len(x) else None for x in sets]

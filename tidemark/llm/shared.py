@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,24 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
             spark.conf.set(key, str(value))
 
 
+_KEPT: dict = {}
+
+
+def kept(name: str, make: Callable):
+    """What a worker keeps under a name from task to task, made anew where it has something else.
+
+    A worker lives through all operators of a pipeline: it keeps one thing at a time, and gives the memory of the one before back to the system.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def open_fs(uri: str):
     """(file system, path) of a folder in any store that pyarrow knows, given with its scheme."""
     from pyarrow import fs

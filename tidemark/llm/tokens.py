@@ -11,6 +11,8 @@ from operator import is_
 
 import numpy as np
 
+from .shared import kept
+
 #: A word that ends in a letter of ASCII or Latin-1 or a digit, then ASCII marks other than the apostrophe.
 _STEM = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
@@ -21,9 +23,6 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
-_LOADED: dict = {}
-
-
 def _tokenizer(file: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -116,9 +115,7 @@ class ByteEncoder:
 
 def encoder(file: str, kind: type = ByteEncoder):
     """The worker's own encoder for a vocabulary file."""
-    if (file, kind.__name__) not in _LOADED:
-        _LOADED[file, kind.__name__] = kind(file)
-    return _LOADED[file, kind.__name__]
+    return kept(f"{kind.__name__} {file}", lambda: kind(file))
 
 
 def default_file(name: str) -> str:

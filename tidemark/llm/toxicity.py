@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact import text_key
-from .shared import BROADCAST_KEYS, bounded, id_bucket, save, small_batches, text_or_empty
+from .shared import BROADCAST_KEYS, bounded, id_bucket, kept, save, small_batches, text_or_empty
 
 #: Labelled rows of each class that the fit uses at most.
 SAMPLE_ROWS = 2500
@@ -156,17 +156,6 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return [r["text"] for r in found], [r["toxic"] for r in found]
 
 
-_WORDS: dict = {}
-
-
-def worker_words(name: str) -> dict[bytes, float]:
-    """The worker's own numbers by word, for one model at a time."""
-    if name not in _WORDS:
-        _WORDS.clear()
-        _WORDS[name] = {}
-    return _WORDS[name]
-
-
 def logit(text: str, model: Model, known: dict[bytes, float]) -> float:
     """A text's logit; numbers of new words go to known while it has room."""
     words = words_of(text)
@@ -192,7 +181,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, known = sent.value, worker_words(name)
+        fitted, known = sent.value, kept(f"words {name}", dict)  # numbers by word, for one model at a time
         for batch in batches:
             texts = batch.column(1).to_pylist()
             logits = np.clip([logit(x, fitted, known) for x in texts], -50, 50) if fitted else np.full(len(texts), -np.inf)
