@@ -35,8 +35,8 @@ PASS_NUMBERS = 4_000_000
 CENTRE_ROWS = 4096
 #: Bits of a code, about; rotations of a vector at most.
 CODE_BITS, ROTATIONS = 512, 8
-#: Width of the error bound, in standard deviations of the estimate.
-EPSILON = 1.9
+#: Width of the error bound, in standard deviations of the estimate. Bars are true scores, so a near vector is lost where its bound fails.
+EPSILON = 3.5
 #: Queries whose estimates for a block are held at once in a task.
 TILE = 256
 #: The bars come from one in so many partitions of the index, where it has many; rows of a block compared for them, times k.
