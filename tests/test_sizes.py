@@ -1,6 +1,11 @@
 """Cases that showed on larger tables only: ties, classes of chunks, many copies, pools that are not built from pairs."""
 
+import random
+
 import __spark_entry__
+from pyspark.sql import functions as F
+
+from tidemark.operators import metrics, ranking, retrieval
 
 
 def run(spark, name, folder, **tables):
@@ -15,3 +20,53 @@ def test_tied_filings(spark, tmp_path):
     orders = orders.selectExpr("*", "timestamp'2020-01-01' as o_orderdate", "'1-URGENT' as o_orderpriority")
     lines = spark.createDataFrame([(k, 1) for k in (3, 4, 5, 7)], "l_orderkey long, l_linenumber int")
     assert [tuple(r) for r in run(spark, "summary_expand", tmp_path, orders=orders, lineitem=lines)] == [(1, 3, 1)]
+
+
+def vectors(spark):
+    """Chunks with copies, vectors of two sizes, null, zero and broken ones; every third is a query as well."""
+    draw = random.Random(3)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(3 if i % 11 else 2)], i % 4 if i % 7 else None, [2019 + i % 3]) for i in range(90)]
+    rows = [(i, rows[5][1] if i % 10 == 5 else v, g, y) for i, v, g, y in rows] + [(90, [0.0, 0.0, 0.0], 1, [2019]), (91, None, 1, [2019]), (92, [1.0, None, 2.0], 1, [2019])]
+    chunks = spark.createDataFrame(rows, "doc_id long, vec array<double>, grp int, c_years array<int>")
+    asked = chunks.filter("doc_id % 3 = 0").select(F.struct("doc_id", F.lit(1).alias("no")).alias("qid"), F.col("doc_id").alias("q0"), F.col("vec").alias("qvec"), F.col("grp").alias("wanted"), F.array(F.lit(2019), F.lit(2020)).alias("years"))
+    return asked, chunks
+
+
+def test_filters_are_asked_by_class_and_not_by_pair(spark, monkeypatch):
+    asked, chunks = vectors(spark)
+    on, by = (F.col("grp") == F.col("wanted")) & F.arrays_overlap("years", "c_years"), (["wanted", "years"], ["grp", "c_years"])
+    want = sorted(map(str, ranking.vector_top_k(asked, chunks, 4, on & (F.col("doc_id") != F.col("q0"))).collect()))
+    got = ranking.vector_top_k(asked, chunks, 4, on, by, "q0")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.collect())) == want and len(want) > 60
+    monkeypatch.setattr(ranking, "TILE", 3)
+    monkeypatch.setattr(ranking, "WAITING", 12)
+    assert sorted(map(str, ranking.vector_top_k(asked, chunks, 4, on, by, "q0").collect())) == want
+    monkeypatch.setattr(ranking, "MOST_CLASSES", 2)
+    assert sorted(map(str, ranking.vector_top_k(asked, chunks, 4, on, by, "q0").collect())) == want
+
+
+def test_only_questions_without_rows_are_searched_again(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, qvec array<double>")
+    found = spark.createDataFrame([(1, 7)], "qid long, doc_id long")
+    seen = []
+    out = ranking.or_else(asked, found, lambda some: seen.append(some.collect()) or some.select("qid", F.lit(9).cast("long").alias("doc_id")))
+    assert sorted(map(tuple, out.collect())) == [(1, 7), (2, 9)] and [r["qid"] for r in seen[0]] == [2]
+
+
+def test_metrics_of_classes_make_no_pairs(spark):
+    docs = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, 2), (6, 2), (7, None)], "doc_id long, class int")
+    asked = spark.createDataFrame([(1, 0), (4, 1), (5, 2), (7, None)], "qid long, class int")
+    ranked = spark.createDataFrame([(1, 4, 1), (1, 2, 2), (4, 1, 1), (7, 1, 1)], "qid long, doc_id long, rank int")
+    gold = asked.join(docs, "class").filter("qid <> doc_id").select("qid", "doc_id")
+    want = sorted(map(tuple, metrics.ranking_metrics(ranked, gold, (1, 5)).collect()))
+    assert sorted(map(tuple, metrics.class_metrics(ranked, asked, docs, (1, 5)).collect())) == want and len(want) == 2
+
+
+def test_source_chunks_of_summaries_are_searched_and_not_listed(spark):
+    chunks = spark.createDataFrame([(i, i, "A", [2019 + i % 2], [1.0, i / 50]) for i in range(1, 61)], "chunk_id long, doc_id long, ticker string, years array<int>, vec array<double>")
+    summaries = spark.createDataFrame([(900, "A", [2019], [1.0, 0.1], [1, 2, 3, 4, 99]), (901, "A", [2020], [1.0, 0.9], list(range(3, 61)))], "summary_id long, ticker string, years array<int>, vec array<double>, source_ids array<long>")
+    asked = spark.createDataFrame([(2, "How did it change?", [1.0, 0.04], ["A"], [2019, 2020])], "qid long, question string, qvec array<double>, tickers array<string>, years array<int>")
+    got = retrieval.with_summaries(asked, chunks, summaries, 1, 4, 2)
+    assert [r["chunk_id"] for r in got.orderBy("rank").collect()] == [3, 1, 4, 5]
+    assert [r["chunk_id"] for r in retrieval.with_summaries(asked, chunks, summaries, 0, 1, 2).orderBy("rank").collect()] == [3, 1]
