@@ -5,7 +5,7 @@ import random
 import __spark_entry__
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, ranking, retrieval
+from tidemark.operators import graph, metrics, ranking, retrieval
 
 
 def run(spark, name, folder, **tables):
@@ -70,3 +70,15 @@ def test_source_chunks_of_summaries_are_searched_and_not_listed(spark):
     got = retrieval.with_summaries(asked, chunks, summaries, 1, 4, 2)
     assert [r["chunk_id"] for r in got.orderBy("rank").collect()] == [3, 1, 4, 5]
     assert [r["chunk_id"] for r in retrieval.with_summaries(asked, chunks, summaries, 0, 1, 2).orderBy("rank").collect()] == [3, 1]
+
+
+def test_ways_are_dealt_before_they_are_compared(spark):
+    links = spark.createDataFrame([("a", "p", "b"), ("a", "p] b ←[p", "b"), ("c", "p", "b"), ("b", "p", "d"), ("b", "q", "d"), ("b", "r", "d"), ("b", "s", "d")], "subject string, predicate string, object string")
+    seeds = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c")], "qid long, seed string")
+    found = graph.paths(seeds, graph.neighbours(links))
+    got = {(r["qid"], r["node"], r["no"]): r["path"] for r in found.collect()}
+    assert len(got) == found.count() and [got[2, "d", i] for i in (1, 2, 3)] == [f"c →[p] b | b →[{p}] d" for p in "pqr"] and (2, "d", 4) not in got
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [qid" not in plan.split("RepartitionByExpression")[0]
+    again = graph.paths(spark.createDataFrame([(1, "x")], seeds.schema), spark.createDataFrame([("x", "y", "p", "→")] * 2, "node string, other string, predicate string, arrow string"))
+    assert [tuple(r) for r in again.collect()] == [(1, "y", 1, "x →[p] y", 1)]
