@@ -6,6 +6,7 @@ import __spark_entry__
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, metrics, ranking, retrieval
+from tidemark.sources import stores
 
 
 def run(spark, name, folder, **tables):
@@ -82,3 +83,18 @@ def test_ways_are_dealt_before_they_are_compared(spark):
     assert "Aggregate [qid" not in plan.split("RepartitionByExpression")[0]
     again = graph.paths(spark.createDataFrame([(1, "x")], seeds.schema), spark.createDataFrame([("x", "y", "p", "→")] * 2, "node string, other string, predicate string, arrow string"))
     assert [tuple(r) for r in again.collect()] == [(1, "y", 1, "x →[p] y", 1)]
+
+
+def test_sparse_scores_are_kept_in_the_task(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choices("abcdefgh", k=draw.randrange(1, 9)))) for i in range(60)] + [(60, None), (61, ""), (62, "zz"), (63, "a b"), (64, "A b")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([("x", "a b"), ("y", "h h c q"), ("z", "nothing"), (None, "d")], "qid string, text string")
+    asked, docs = stores.weights(items, "qid"), stores.weight_lists(texts, "doc_id")
+    pairs = asked.join(stores.weights(texts, "doc_id").withColumnRenamed("w", "dw"), "feature").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("dw")), 6).alias("score"))
+    want = sorted(map(str, ranking.ranked(pairs, ["qid"], [F.desc("score"), F.col("doc_id")], 7).select("qid", "doc_id", "score", "rank").collect()))
+    for most in (1 << 20, 20):
+        monkeypatch.setattr(ranking, "WAITING", most)
+        got = ranking.sparse_top_k(asked, docs, 7)
+        assert sorted(map(str, got.select("qid", "doc_id", "score", "rank").collect())) == want and len(want) > 14
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -36,11 +36,8 @@ def feature(token: Column, features: int = 1 << 18) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(features))
 
 
-def weights(rows: DataFrame, key: str, text: str = "text", hashed: int | None = None) -> DataFrame:
-    """Postings (feature, key, w) of rows: 1 + ln(tf) over the row's norm; features are tokens, or their numbers in a hashed table.
-
-    Counts and norms are taken within the row, so that no token is shuffled before it is a posting.
-    """
+def weight_lists(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, postings) of rows: for each token of a text, in order, its feature and w, 1 + ln(tf) over the row's norm."""
     from ..functions.text import bind
 
     words = F.array_sort(tokens(F.lower(text)))
@@ -53,9 +50,16 @@ def weights(rows: DataFrame, key: str, text: str = "text", hashed: int | None =
         length = F.sqrt(F.aggregate(ps, F.lit(0.0), lambda s, p: s + p["w"] * p["w"]))
         return bind(length, lambda n: F.transform(ps, lambda p: F.struct(p["feature"].alias("feature"), (p["w"] / n).alias("w"))))
 
-    out = rows.select(key, F.inline(bind(bind(words, counted), scaled))).select("feature", key, "w")
+    return rows.select(key, bind(bind(words, counted), scaled).alias("postings"))
+
+
+def weights(rows: DataFrame, key: str, text: str = "text", hashed: int | None = None) -> DataFrame:
+    """Postings (feature, key, w) of rows: 1 + ln(tf) over the row's norm; features are tokens, or their numbers in a hashed table.
+
+    Counts and norms are taken within the row, so that no token is shuffled before it is a posting.
+    """
     if hashed is None:
-        return out
+        return weight_lists(rows, key, text).select(key, F.inline("postings")).select("feature", key, "w")
     folded = rows.select(key, F.explode(tokens(F.lower(text))).alias("t")).groupBy(key, feature(F.col("t"), hashed).alias("feature")).agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
     norms = folded.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     return folded.join(norms, key).select("feature", key, (F.col("w") / F.col("n")).alias("w"))
