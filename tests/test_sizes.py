@@ -98,3 +98,19 @@ def test_sparse_scores_are_kept_in_the_task(spark, monkeypatch):
         got = ranking.sparse_top_k(asked, docs, 7)
         assert sorted(map(str, got.select("qid", "doc_id", "score", "rank").collect())) == want and len(want) > 14
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_of_documents_in_one_row_are_not_compared(spark):
+    names = "doc_id string, ticker string, filing_node string, form string, filing_date string, year string, section_node string, family string, comparison_group string"
+    made = lambda i, filing, family: (str(i), "T", f"T F {filing}", "F", filing, "2020", f"{filing} {family}", family, f"F 2020 {family}")
+    rows = [made(1, "2020-01-01", "x"), made(2, "2020-01-01", "x"), made(3, "2020-02-01", "y"), made(4, "2020-03-01", "x")]
+    found = graph.document_edges(spark.createDataFrame(rows, names))
+    got = sorted(map(tuple, found.collect()))
+    assert len(got) == len(set(got)) == 36 + 2 * (1 + 2 + 2) and ("T F 2020-01-01", "has_next_same_company_form_filing", "T F 2020-02-01") in got
+    twice = graph.document_edges(spark.createDataFrame([*rows, rows[1], made(1, "2020-02-01", "x")], names))
+    again = sorted(map(tuple, twice.collect()))
+    assert len(again) == len(set(again)) and set(again) >= {("1", "belongs_to_filing", "T F 2020-01-01"), ("1", "belongs_to_filing", "T F 2020-02-01")}
+    some = graph.document_edges(spark.createDataFrame(rows, names), ["belongs_to_filing", "has_next_document_in_filing"])
+    assert sorted(map(tuple, some.collect())) == [e for e in got if e[1] in ("belongs_to_filing", "has_next_document_in_filing")]
+    assert "Aggregate" not in some._jdf.queryExecution().optimizedPlan().toString()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 4
